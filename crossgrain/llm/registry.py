@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality_rules", "license_scan")
+MODULES = ("quality_rules", "quality_classifier", "license_scan")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
