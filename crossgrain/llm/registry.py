@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality_rules", "quality_classifier", "secret_scan", "warc", "license_scan")
+MODULES = ("quality_rules", "quality_classifier", "secret_scan", "warc", "simhash", "license_scan")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
