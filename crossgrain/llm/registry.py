@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality_rules", "quality_classifier", "secret_scan", "warc", "simhash", "byte_bpe", "license_scan", "decontaminate", "substring_dedup")
+MODULES = ("quality_rules", "quality_classifier", "secret_scan", "warc", "simhash", "byte_bpe", "license_scan", "decontaminate", "chat_quotes", "substring_dedup")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
