@@ -6,8 +6,9 @@ contracts each word's leftmost pair of minimum rank, round after round, until no
 Words that are tokens as they stand need no merges. Decoding: token-position rows (document, place, id)
 join the vocabulary, and an aggregation ordered by place puts the bytes together.
 
-A worker keeps the words that it has encoded, at most `CACHE_WORDS`; then it starts anew. DuckDB has one
-thread and bounded memory, and never writes to disk. A word of over `LONGEST_WORD` bytes, for which the
+A worker keeps the words that it has encoded, in two generations of at most `CACHE_WORDS`: a full one
+becomes the old one, and what is met again moves on. DuckDB has one thread and bounded memory, and never
+writes to disk. A word of over `LONGEST_WORD` bytes, for which the
 rounds of a recursive query would grow with the square of its length, is merged with a heap instead,
 with the same result.
 
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 from crossgrain.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
 LONGEST_WORD = 512
 #: Words that go to a recursive query, and token rows that go to a decoding query, at a time.
 WORDS_AT_ONCE, TOKENS_AT_ONCE = 40_000, 400_000
+#: Characters whose words are cut at a time.
+CHARS_AT_ONCE = 1 << 22
 DUCKDB_MEMORY = "250MB"
 
 # best: rank, place and next place of a word's leftmost pair of minimum rank, in 17, 23 and 23 bits
@@ -67,6 +70,7 @@ class Tokenizer:
         self.pattern = regex.compile(pattern)
         self.of_byte = [self.ranks[bytes([b])] for b in range(256)]
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
         pairs = [(low, high, rank) for token, rank in self.ranks.items() for k in range(1, len(token)) if (low := self.ranks.get(token[:k])) is not None and (high := self.ranks.get(token[k:])) is not None]
         merges = pa.table([pa.array(c, pa.int32()) for c in zip(*pairs, strict=True)], ["low", "high", "rank"])  # noqa: F841
@@ -132,11 +136,13 @@ class Tokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.pattern.findall(t) for t in texts]
-        new = {w for words in cut for w in words if w not in self.cache}
+        new = set().union(*cut) - self.cache.keys()
         if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = {w for words in cut for w in words}
-        self.learn(list(new))
+            self.cache, self.old = {}, self.cache
+            new = set().union(*cut)
+        met = new & self.old.keys()
+        self.cache.update((w, self.old[w]) for w in met)
+        self.learn(list(new - met))
         known = self.cache
         return [b"".join([known[w] for w in words]) for words in cut]
 
@@ -169,45 +175,59 @@ def tokenizer(path: str | None = None, pattern: str | None = None) -> Tokenizer:
     return _tokenizers[key]
 
 
-def _with_column(df: DataFrame, name: str, source: str, convert, group) -> DataFrame:
-    """`df` with a binary column `name` (in place of one of that name) that `convert` makes of the list of `source` values of rows; `group` cuts a batch into runs of rows."""
-    keep = [c for c in df.columns if c != name]
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + f", `{name}` binary"
+def _with_columns(df: DataFrame, source: str, names: tuple[str, ...], convert, sizes, most: int) -> DataFrame:
+    """`df` with binary columns `names` (in place of any so named) that `convert` makes of the list of `source` values of rows; at most `most` of `sizes` at a time."""
+    keep = [c for c in df.columns if c not in names]
+    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), *(f"`{n}` binary" for n in names)])
 
     def converted(batches):
         import pyarrow as pa
 
         for whole in batches:
-            for a, b in group(whole.column(source)):
+            for a, b in _runs([0 if x is None else sizes(x) for x in whole.column(source).to_pylist()], most):
                 part = whole.slice(a, b - a)
                 new = convert(part.column(source).to_pylist())
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(new, pa.binary())], [*keep, name])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *[pa.array(x, pa.binary()) for x in new]], [*keep, *names])
 
     return df.mapInArrow(converted, schema)
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """`docs` (with text) and `token_ids`: little-endian unsigned 32-bit ids."""
+    return _with_columns(docs, "text", ("token_ids",), lambda texts: (tokenizer(path, pattern).encode([t or "" for t in texts]),), len, CHARS_AT_ONCE)
 
-    def convert(texts):
-        return tokenizer(path, pattern).encode([t or "" for t in texts])
 
-    def group(column):  # large groups let a recursive query take many words; sizes are bounded by characters
-        return _runs([0 if t is None else len(t) for t in column.to_pylist()], 1 << 22)
+def decode(tokens: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """`tokens` (with token_ids) and `decoded`: the bytes that they stand for."""
+    return _with_columns(tokens, "token_ids", ("decoded",), lambda ids: (tokenizer(path, pattern).decode([x or b"" for x in ids]),), lambda x: len(x) // 4, TOKENS_AT_ONCE)
 
-    return _with_column(docs, "token_ids", "text", convert, group)
 
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """`docs` (with text), `token_ids` and `decoded`, made of the ids alone, in one worker."""
 
-def decode(tokens: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """`tokens` (with token_ids) and `decoded`: the bytes that they stand for."""
+    def convert(texts):
+        t = tokenizer(path, pattern)
+        ids = t.encode([x or "" for x in texts])
+        return ids, [x for a, b in _runs([len(x) // 4 for x in ids], TOKENS_AT_ONCE) for x in t.decode(ids[a:b])]
 
-    def convert(ids):
-        return tokenizer(path, pattern).decode([x or b"" for x in ids])
+    return _with_columns(docs, "text", ("token_ids", "decoded"), convert, len, CHARS_AT_ONCE)
+
+
+def ids_as_arrays(tokens: DataFrame) -> DataFrame:
+    """`tokens` with the binary `token_ids` as an array of ints."""
+    keep = [c for c in tokens.columns if c != "token_ids"]
+
+    def unpacked(batches):
+        import numpy as np
+        import pyarrow as pa
 
-    def group(column):
-        return _runs([0 if x is None else len(x) // 4 for x in column.to_pylist()], TOKENS_AT_ONCE)
+        for b in batches:
+            ids = b.column("token_ids").to_pylist()
+            ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], lists], [*keep, "token_ids"])
 
-    return _with_column(tokens, "decoded", "token_ids", convert, group)
+    return tokens.mapInArrow(unpacked, ", ".join([*(f"`{c}` {tokens.schema[c].dataType.simpleString()}" for c in keep), "token_ids array<int>"]))
 
 
 def _runs(sizes: list[int], most: int) -> list[tuple[int, int]]:
@@ -223,7 +243,7 @@ def _runs(sizes: list[int], most: int) -> list[tuple[int, int]]:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of what they decode to."""
-    tokens = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "token_ids"))
+    tokens = round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return tokens.select(
         "doc_id", F.expr("CAST(octet_length(token_ids) DIV 4 AS BIGINT)").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
