@@ -1,10 +1,65 @@
-"""The corpus pipeline. Its stages follow as their operators land."""
+"""The corpus pipeline: documents that a model is trained on, from raw documents to token ids.
+
+Each stage is (name, function of (spark, docs, sf_dir)), takes all that the one before kept and calls one
+operator. All but the last return the columns of documents; `run` writes each stage's result to the shared
+folder and rereads it, so that a lost executor costs no more than a part of one stage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crossgrain.llm import byte_bpe, decontaminate, quality_classifier, secret_scan, simhash
+from crossgrain.sources.scratch import materialize
+from crossgrain.sources.tables import table
+
+#: Fingerprints of word sets link near copies that 4-word shingles miss; README has the figures.
+NEAR_SEEDS = (42, 43, 44)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from `labels`."""
+    return quality_classifier.accept_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of near copies."""
+    return simhash.keep_first(docs, word_set_seeds=NEAR_SEEDS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no item of `benchmark`."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts."""
+    return secret_scan.redact_secrets(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and token_ids of every document."""
+    tokens = byte_bpe.ids_as_arrays(byte_bpe.encode(docs.select("doc_id", "text")).select("doc_id", "token_ids"))
+    return tokens.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("secret_scan", secrets),
+    ("byte_bpe", tokenize),
+]
+#: Linear algebra, fingerprints and merges are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("no stages yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over the whole of `documents`."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"pipeline-{name}")
+    return docs

@@ -47,14 +47,15 @@ def _count(chars: str) -> Column:
     return F.length("doc_text") - F.length(F.translate("doc_text", chars, ""))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and FEATURES of each row of `docs` (doc_id, text)."""
-    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("doc_text"))
+def statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns `carry` and FEATURES of each row of `docs` (doc_id, text)."""
+    df = docs.select("doc_id", *carry, F.coalesce("text", F.lit("")).alias("doc_text"))
     df = df.select("*", T.words(F.col("doc_text")).alias("w"), F.array_remove(F.split("doc_text", "\n"), "").alias("lines"))
     n, chars = F.size("w"), F.length("doc_text") + PRIOR_CHARS
     share = lambda c: F.sqrt(c / chars)
     return df.select(
         "doc_id",
+        *carry,
         F.log(n + PRIOR_WORDS).alias("log_words"),
         F.log((F.length("doc_text") + 7 * PRIOR_WORDS) / (n + PRIOR_WORDS)).alias("word_length"),
         F.log((n + PRIOR_WORDS) / (F.size("lines") + PRIOR_LINES)).alias("log_line_words"),
@@ -138,14 +139,36 @@ def score_statistics(stats: DataFrame, model: Model, features: tuple[str, ...] =
     return stats.mapInArrow(scored, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def fitted(stats: DataFrame, labels: DataFrame) -> Model:
+    """The model of all labelled rows of `stats` that are not held out."""
+    train = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("label_id"), F.col("quality").alias("label"))
+    return fit(stats.where(~held_out(F.col("doc_id"))).join(train, F.col("doc_id") == F.col("label_id")))
+
+
 def classify(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """doc_id, held_out, score and predicted of each row of `docs` (doc_id, text); `labels`: doc_id, quality."""
     stats = materialize(statistics(docs), "quality-statistics")
-    train = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("label_id"), F.col("quality").alias("label"))
-    model = fit(stats.where(~held_out(F.col("doc_id"))).join(train, F.col("doc_id") == F.col("label_id")))
+    model = fitted(stats, labels)
     return score_statistics(stats, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
 
+def score_column(model: Model, features: tuple[str, ...] = FEATURES) -> Column:
+    """The score as a column of `features`: those alone go through Arrow, what else a row holds stays in the JVM."""
+    import pandas as pd
+
+    def scored(x: pd.DataFrame) -> pd.Series:
+        return pd.Series(model.score(x.to_numpy(np.float64)))
+
+    return F.pandas_udf(scored, "double", F.PandasUDFType.SCALAR)(F.struct(*features))
+
+
+def accept_documents(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
+    """The rows of `docs` whose score is at least `accept`, with all their columns; texts are mapped over, never shuffled."""
+    model = fitted(materialize(statistics(docs), "quality-statistics"), labels)
+    scored = statistics(docs.select("doc_id", "text", F.struct("*").alias("doc_row")), ("doc_row",))
+    return scored.where(score_column(model) >= accept).select("doc_row.*")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score and verdict of every document."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

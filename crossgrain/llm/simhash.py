@@ -1,6 +1,8 @@
 """SimHash near-duplicates through a binary trie self-join.
 
-Every document has a 64-bit fingerprint of its word shingles. Equal fingerprints become one row. The
+Every document has a 64-bit fingerprint of its word shingles or, where more edits than a few bits of that
+stand for shall be found, several of its set of words under different seeds, each of which may link it.
+Equal fingerprints become one row. The
 distinct ones are leaves of a binary trie over their bits, and pairs within the Hamming budget are found
 by walking the trie against itself: a pair of nodes carries the bits in which its two paths differ, its
 pairs of children are visited in turn, and a pair goes as soon as the differing bits exceed the budget.
@@ -41,8 +43,17 @@ BLOCK = 1 << 20
 _ROWS = 128
 
 
+def majority_bits(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of `hashes`."""
+    counts = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 14):
+        bits = np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(data: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
-    """Of UTF-8 text: a bit is 1 if it is set in over half of the shingles' XXH64 values."""
+    """Of the shingles of UTF-8 text, repeats included."""
     from xxhash import xxh64_intdigest
 
     words = data.lower().split()  # bytes: A-Z and the six ASCII spaces only
@@ -53,16 +64,19 @@ def fingerprint(data: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
     line, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[: len(words) - shingle_words].tolist()]
     stops = (ends[shingle_words - 1 :] - 1).tolist()
-    hashes = np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
-    counts = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 1 << 14):
-        bits = np.unpackbits(hashes[k : k + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority_bits(np.fromiter((xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts)))
+
 
+def word_set_fingerprints(data: bytes, seeds: tuple[int, ...]) -> list[int]:
+    """Of the distinct words of UTF-8 text, under each seed: an edited word changes one feature, not one for each shingle."""
+    from xxhash import xxh64_intdigest
+
+    words = set(data.lower().split())
+    return [majority_bits(np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))) if words else 0 for seed in seeds]
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of each row of `docs` (doc_id, text)."""
+
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, word_set_seeds: tuple[int, ...] = ()) -> DataFrame:
+    """doc_id and fps, signed longs, of each row of `docs` (doc_id, text): one of its shingles or, with `word_set_seeds`, one of its words for each."""
 
     def hashed(batches):
         import pyarrow as pa
@@ -70,10 +84,14 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
         for whole in batches:
             for k in range(0, whole.num_rows, _ROWS):
                 b = whole.slice(k, _ROWS)
-                fps = np.array([fingerprint((t or "").encode(), shingle_words) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+                data = [(t or "").encode() for t in b.column("text").to_pylist()]
+                fps = [word_set_fingerprints(d, word_set_seeds) if word_set_seeds else [fingerprint(d, shingle_words)] for d in data]
+                flat = pa.array(np.array(fps, np.uint64).reshape(-1).view(np.int64), pa.int64())
+                width = len(word_set_seeds) or 1
+                lists = pa.ListArray.from_arrays(pa.array(range(0, len(fps) * width + 1, width), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "fps"])
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fps array<long>")
 
 
 class Trie:
@@ -239,17 +257,46 @@ def near_links(leaves: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     return dealt.groupBy("task").applyInArrow(walked, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, budget: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp and component_id of each row of `docs` (doc_id, text)."""
-    fps = materialize(fingerprints(docs, shingle_words), "simhash-fingerprints")
-    leaves = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-leaves")
-    if leaves.isEmpty():
-        return fps.select("doc_id", "fp", F.col("doc_id").alias("component_id"))
-    roots = materialize(connected(near_links(leaves, budget)).withColumnRenamed("node", "fp"), "simhash-roots")
-    ids = materialize(roots.join(leaves, "fp").groupBy("root").agg(F.min("first_doc").alias("component_id")), "simhash-ids")
-    linked = materialize(roots.join(ids, "root").select("fp", "component_id"), "simhash-linked")
-    of_leaf = materialize(leaves.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id")), "simhash-components")
-    return fps.join(of_leaf, "fp").select("doc_id", "fp", "component_id")
+def group_links(groups: DataFrame, width: int, budget: int) -> DataFrame:
+    """(a, b) links of `groups` (node, fps): equal or near under any of `width` fingerprints; a node that has one fingerprint is that."""
+    links = None
+    for k in range(width):
+        if width == 1:
+            found = near_links(groups.select(F.col("node").alias("fp")), budget)
+        else:
+            of_node = groups.select("node", F.col("fps")[k].alias("fp"))
+            leaves = materialize(of_node.groupBy("fp").agg(F.min("node").alias("leaf")), "simhash-leaves")
+            near = near_links(leaves.select("fp"), budget)
+            near = near.join(leaves.select(F.col("fp").alias("a"), F.col("leaf").alias("x")), "a").join(leaves.select(F.col("fp").alias("b"), F.col("leaf").alias("y")), "b").select("x", "y")
+            found = near.union(of_node.join(leaves, "fp").where("node <> leaf").select("node", "leaf")).toDF("a", "b")
+        links = found if links is None else links.unionByName(found)
+    return links
+
+
+def near_duplicates(docs: DataFrame, budget: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, word_set_seeds: tuple[int, ...] = ()) -> DataFrame:
+    """doc_id, fps and component_id of each row of `docs` (doc_id, text)."""
+    width = len(word_set_seeds) or 1
+    node = F.col("fps")[0] if width == 1 else F.xxhash64("fps")
+    rows = materialize(fingerprints(docs, shingle_words, word_set_seeds).withColumn("node", node), "simhash-fingerprints")
+    groups = materialize(rows.groupBy("node", "fps").agg(F.min("doc_id").alias("first_doc")), "simhash-groups")
+    if groups.isEmpty():
+        return rows.select("doc_id", "fps", F.col("doc_id").alias("component_id"))
+    roots = materialize(connected(group_links(groups, width, budget)), "simhash-roots")
+    ids = materialize(roots.join(groups, "node").groupBy("root").agg(F.min("first_doc").alias("component_id")), "simhash-ids")
+    linked = materialize(roots.join(ids, "root").select("node", "component_id"), "simhash-linked")
+    of_node = materialize(groups.join(linked, "node", "left").select("node", F.coalesce("component_id", "first_doc").alias("component_id")), "simhash-components")
+    return rows.join(of_node, "node").select("doc_id", "fps", "component_id")
+
+
+def keep_first(docs: DataFrame, budget: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, word_set_seeds: tuple[int, ...] = ()) -> DataFrame:
+    """The rows of `docs` that are first, by doc_id, of their component, with all columns; of repeated rows one stays, and rows without a doc_id all do."""
+    found = materialize(near_duplicates(docs, budget, shingle_words, word_set_seeds).select("doc_id", "component_id"), "simhash-kept")
+    later = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    repeated = materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-repeated")
+    if repeated.isEmpty():
+        return kept
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
 
 
 def fingerprint_hex(fp: Column) -> Column:
@@ -258,7 +305,7 @@ def fingerprint_hex(fp: Column) -> Column:
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", fingerprint_hex(F.col("fps")[0]).alias("fingerprint"), "component_id")
 
 
 QUERIES = {"op5_simhash": op5_simhash}
