@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from crossgrain.llm.text import bound_batches
 from crossgrain.sources.tables import table
 
 #: 1: the word counts; 0: it is ignored. Six words count in each.
@@ -148,6 +149,7 @@ def benchmark_blocks(benchmark: DataFrame, masks: tuple[str, ...] = MASKS, max_s
 
 def _passes(df: DataFrame, benchmark: DataFrame, masks: tuple[str, ...], max_seeds: int):
     spark = df.sparkSession
+    bound_batches(spark)
     for items in benchmark_blocks(benchmark, masks, max_seeds):
         yield spark.sparkContext.broadcast(Block(items, masks))
 

@@ -32,6 +32,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from crossgrain.llm.text import bound_batches
 from crossgrain.sources.tables import table
 
 KINDS = ("assign", "access", "hex")
@@ -252,6 +253,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
                 hashes = pa.array([hashlib.sha256(joined(spans).encode()).hexdigest() for spans in base], pa.string())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, hashes, pa.array(every, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(scanned, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
@@ -269,6 +271,7 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
                 new = {"text": pa.array(texts, b.schema.field("text").type), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
                 yield pa.RecordBatch.from_arrays([new[f.name].cast(f.type) if f.name in new else b.column(i) for i, f in enumerate(b.schema)], schema=b.schema)
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(cleaned, docs.schema)
 
 

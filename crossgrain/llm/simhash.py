@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossgrain.llm.components import connected
+from crossgrain.llm.text import bound_batches
 from crossgrain.sources.scratch import materialize
 from crossgrain.sources.tables import table
 
@@ -91,6 +92,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, word_set_s
                 lists = pa.ListArray.from_arrays(pa.array(range(0, len(fps) * width + 1, width), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "fps"])
 
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fps array<long>")
 
 

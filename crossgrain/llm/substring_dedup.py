@@ -11,11 +11,12 @@ anchors wherever they are, and neighbouring windows mostly share theirs.
    done. Where they have such an anchor, the hashes of their windows are grouped, which confirms what
    recurs and names its owner, the smallest doc_id that has it.
 3. Passages are cut from the owners' texts: runs of windows that they own and that recur.
-4. Documents are dealt into shards of bounded text. A shard gets the passages of the owners that share a
-   confirmed anchor with one of its documents, each once, and compiles an Aho-Corasick automaton of their
-   anchor phrases (pyahocorasick, over word numbers). All its documents stream through it. Each hit gives an
-   alignment with a passage, and on that, every stretch of `window` equal words or more is removed. Words
-   are compared as such, so what is removed does recur; hashes only decide where to look.
+4. Documents are dealt into shards of bounded text, by their smallest anchor, which copies mostly share;
+   those of an anchor with more text than a shard are dealt into several. A shard gets the passages that
+   hold a confirmed anchor of one of its documents, each once, and compiles an Aho-Corasick automaton of
+   their anchor phrases (pyahocorasick, over word numbers). All its documents stream through it. Windows
+   around a hit are looked up among the windows of the passages, the smallest owner first, and compared
+   with that word by word, so what is removed does recur; hashes only decide where to look.
 
 Groupings carry partial results from every task, so a passage that a third of all documents share is a
 few rows; joins read plain tables, so that Spark splits a frequent anchor. The bitmap's size is a parameter;
@@ -35,6 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossgrain.llm.text import bound_batches
 from crossgrain.sources.scratch import materialize
 from crossgrain.sources.tables import table
 
@@ -44,6 +46,8 @@ PHRASE = 16
 BITMAP_BITS = 1 << 27
 #: Characters of text in a shard.
 SHARD_CHARS = 4_000_000
+#: Rows of a table with no more rows than shards that are broadcast.
+MOST_BROADCAST = 100_000
 _ROWS = 128
 _ODD = np.random.default_rng(977).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -191,8 +195,8 @@ def _runs(marks: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def owned_passages(owners: DataFrame, window: int) -> DataFrame:
-    """(owner, passage) for rows of `owners` (doc_id, text, hashes): the runs of words that the owned windows cover."""
+def owned_passages(owners: DataFrame, window: int, phrase: int) -> DataFrame:
+    """(owner, passage, anchors) for rows of `owners` (doc_id, text, hashes): the runs of words that the owned windows cover."""
 
     def found(batches):
         import pyarrow as pa
@@ -202,63 +206,77 @@ def owned_passages(owners: DataFrame, window: int) -> DataFrame:
                 part, rows = whole.slice(k, _ROWS), []
                 for doc_id, text, owned in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("hashes"), strict=True):
                     words = _split(text)
-                    hashes = run_hashes(word_hashes(words), window)
+                    anchors, hashes, _ = anchors_and_windows(words, window, phrase)
                     marks = np.isin(hashes, owned.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                    rows += [(doc_id, b" ".join(words[a : b + window - 1])) for a, b in _runs(marks)]
+                    rows += [(doc_id, b" ".join(words[a : b + window - 1]), np.unique(anchors[a:b]).view(np.int64)) for a, b in _runs(marks)]
                 if rows:
-                    ids, passages = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(passages, pa.binary())], ["owner", "passage"])
+                    ids, passages, anchors = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(passages, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], ["owner", "passage", "anchors"])
 
-    return owners.select("doc_id", "text", "hashes").mapInArrow(found, "owner long, passage binary")
+    return owners.select("doc_id", "text", "hashes").mapInArrow(found, "owner long, passage binary, anchors array<long>")
 
 
 class PhraseAutomaton:
-    """An Aho-Corasick automaton, over word numbers, of the anchor phrases of passages (owner, words)."""
+    """An Aho-Corasick automaton, over word numbers, of the anchor phrases of passages (owner, words), and their windows."""
 
     def __init__(self, passages: list[tuple[int, list[bytes]]], window: int, phrase: int):
         import ahocorasick
 
-        self.window, self.owners, self.passages = window, [], []
+        self.window, self.phrase = window, phrase
         self.numbers: dict[bytes, int] = {}
-        self.places: list[list[tuple[int, int]]] = []
-        known: dict[tuple[int, ...], int] = {}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        ids, owners, hashes, starts, at = [], [], [], [], 0
         for owner, words in passages:
-            anchors, _, phrases = anchors_and_windows(words, window, phrase)
-            ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int64)
-            for at in np.flatnonzero(np.isin(phrases, anchors)).tolist():
-                key = tuple(ids[at : at + phrase].tolist())
-                k = known.setdefault(key, len(self.places))
-                if k == len(self.places):
-                    self.places.append([])
-                    self.automaton.add_word(key, k)
-                self.places[k].append((len(self.passages), at))
-            self.owners.append(owner)
-            self.passages.append(ids)
-        self.phrase = phrase
-        if self.places:
-            self.automaton.make_automaton()
+            anchors, window_hashes, phrases = anchors_and_windows(words, window, phrase)
+            own = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words]
+            for k in np.flatnonzero(np.isin(phrases, anchors)).tolist():
+                self.automaton.add_word(tuple(own[k : k + phrase]), 1)
+            ids.append(np.array(own, np.int64))
+            hashes.append(window_hashes)
+            owners.append(np.full(len(window_hashes), owner, np.int64))
+            starts.append(at + np.arange(len(window_hashes)))
+            at += len(own)
+        self.empty = not at
+        if self.empty:
+            return
+        self.automaton.make_automaton()
+        self.ids, hashes, owners, starts = map(np.concatenate, (ids, hashes, owners, starts))
+        order = np.lexsort((owners, hashes))
+        first = np.concatenate(([True], np.diff(hashes[order]) != 0))
+        self.hashes, self.owners, self.starts = (x[order][first] for x in (hashes, owners, starts))
 
     def removed(self, doc_id: int, words: list[bytes]) -> np.ndarray:
-        """Which of `words` a passage of a smaller doc_id covers, `window` equal words or more at a time."""
+        """Which of `words` are in a window that a passage of a smaller doc_id holds."""
         gone = np.zeros(len(words), bool)
-        if not self.places or len(words) < self.window:
+        n = len(words) - self.window + 1
+        if self.empty or n <= 0:
             return gone
         known = self.numbers
         numbers = tuple([known.get(w, 0) for w in words])
-        ids, seen = np.array(numbers, np.int64), set()
-        for end, k in self.automaton.iter(numbers):
-            for p, at in self.places[k]:
-                shift = end - self.phrase + 1 - at
-                if self.owners[p] >= doc_id or (p, shift) in seen:
-                    continue
-                seen.add((p, shift))
-                passage = self.passages[p]
-                a, b = max(shift, 0), min(shift + len(passage), len(ids))
-                for x, y in _runs(ids[a:b] == passage[a - shift : b - shift]):
-                    if y - x >= self.window:
-                        gone[a + x : a + y] = True
-        return gone
+        hits = [end for end, _ in self.automaton.iter(numbers)]
+        if not hits:
+            return gone
+        ends = np.array(hits)
+        # the windows that a hit phrase lies in
+        near = np.zeros(n + 1, np.int64)
+        np.add.at(near, np.clip(ends - self.window + 1, 0, n), 1)
+        np.add.at(near, np.clip(ends - self.phrase + 2, 0, n), -1)
+        at = np.flatnonzero(np.cumsum(near[:-1]) > 0)
+        hashes = run_hashes(word_hashes(words), self.window)[at]
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        same = (self.hashes[place] == hashes) & (self.owners[place] < doc_id)
+        at, source = at[same], self.starts[place[same]]
+        ids = np.array(numbers, np.int64)
+        step = 0
+        while len(at) and step < self.window:  # word by word; only what differs under an equal hash drops out
+            equal = ids[at + step] == self.ids[source + step]
+            if not equal.all():
+                at, source = at[equal], source[equal]
+            step += 1
+        cover = np.zeros(len(words) + 1, np.int64)
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + self.window, -1)
+        return np.cumsum(cover[:-1]) > 0
 
 
 def dedup_shards(texts: DataFrame, passages: DataFrame, window: int, phrase: int, with_text: bool) -> DataFrame:
@@ -285,6 +303,7 @@ def dedup_shards(texts: DataFrame, passages: DataFrame, window: int, phrase: int
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, bits: int = BITMAP_BITS, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     every = document_anchors(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, phrase)
     shared = every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     cells = spark.sparkContext.broadcast(bitmap(shared, bits))
@@ -295,18 +314,24 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     if not chars:
         return done
     windows = candidate_windows(candidates, cells, window, phrase).groupBy("anchor", "hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("b"))
-    recurring = materialize(windows.where("owner < b").select("anchor", "hash", "owner"), "substring-windows")
+    recurring = materialize(windows.where("owner < b").select("hash", "owner"), "substring-windows")
     owned = recurring.groupBy("owner").agg(F.collect_list("hash").alias("hashes"))
-    passages = materialize(owned_passages(candidates.join(owned, F.col("doc_id") == F.col("owner")), window), "substring-passages")
+    passages = owned_passages(candidates.join(owned, F.col("doc_id") == F.col("owner")), window, phrase)
+    passages = materialize(passages.select(F.monotonically_increasing_id().alias("passage_id"), "*"), "substring-passages")
 
     shards = max(1, -(-chars // shard_chars))
-    shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard")
-    texts = candidates.select(shard, "doc_id", "text")
-    phrases = materialize(recurring.select("anchor", "owner").distinct(), "substring-phrases")
-    asked = candidates.select(shard, "doc_id", F.explode("anchors").alias("anchor"))
-    routes = asked.join(phrases, "anchor").where("owner < doc_id").select("shard", "owner").distinct()
-    routed = materialize(routes, "substring-routes").join(passages, "owner").select("shard", "owner", "passage")
-    return done.unionByName(dedup_shards(texts, routed, window, phrase, False))
+    family = F.array_min("anchors")
+    large = candidates.groupBy(family.alias("family")).agg(F.sum(F.length("text")).alias("n")).where(F.col("n") > shard_chars)
+    large = materialize(large.select("family", F.ceil(F.col("n") / shard_chars).alias("parts")), "substring-families")
+    # no more rows than shards
+    dealt = candidates.withColumn("family", family).join(F.broadcast(large) if shards <= MOST_BROADCAST else large, "family", "left")
+    part = F.pmod(F.xxhash64("doc_id", "n_words"), F.coalesce("parts", F.lit(1)))
+    dealt = dealt.select(F.pmod(F.xxhash64("family", part), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text", "anchors")
+    asked = materialize(dealt.select("shard", "doc_id", F.explode("anchors").alias("anchor")).groupBy("shard", "anchor").agg(F.max("doc_id").alias("last")), "substring-asked")
+    phrases = materialize(passages.select("passage_id", "owner", F.explode("anchors").alias("anchor")), "substring-phrases")
+    routes = materialize(asked.join(phrases, "anchor").where("owner < last").select("shard", "passage_id").distinct(), "substring-routes")
+    routed = routes.join(passages, "passage_id").select("shard", "owner", "passage")
+    return done.unionByName(dedup_shards(dealt.select("shard", "doc_id", "text"), routed, window, phrase, False))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: What separates words: space and \t \n \v \f \r, and nothing else. `bytes.split()` splits at the same six.
@@ -16,6 +16,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
-def batch_rows(size: int) -> dict[str, str]:
-    """The session setting for Arrow batches of `size` rows."""
-    return {"spark.sql.execution.arrow.maxRecordsPerBatch": str(size)}
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch where rows hold whole texts; Spark's default of 10,000 is sized for numbers.
+BATCH_ROWS = 500
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Makes Arrow batches small enough for rows that hold texts, unless the session sets a size of its own."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
