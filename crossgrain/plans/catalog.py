@@ -34,3 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
+    from crossgrain.plans import experiment_queries, graph_queries, kernel_queries, panel_queries, portfolio_queries  # noqa: F401
