@@ -26,7 +26,7 @@ def two_sided_p_column(t: Column) -> Column:
     def p(x: pd.Series) -> pd.Series:
         return x.map(two_sided_p, na_action="ignore").astype(float)
 
-    return F.pandas_udf(p, "double", F.PandasUDFType.SCALAR)(t)
+    return F.pandas_udf(p, "double")(t)
 
 
 def hac_lag(n: Column) -> Column:

@@ -13,18 +13,22 @@ from crossgrain.functions.cross_section import zscored
 
 YEAR = 252
 BASE_FEATURES = ["mom_1m", "mom_3m", "mom_12_1", "rev_1w", "vol_20d", "turnover", "beta", "size"]
-_ASSET = W.partitionBy("asset").orderBy("pos")
+
+
+def _asset():
+    """An asset's rows in the order of the calendar."""
+    return W.partitionBy("asset").orderBy("pos")
 
 
 def trailing(rows: int):
     """The last `rows` calendar rows up to the current one."""
-    return _ASSET.rowsBetween(-(rows - 1), 0)
+    return _asset().rowsBetween(-(rows - 1), 0)
 
 
 def performance(n: int, skip: int = 0) -> Column:
     """px[-skip] / px[-n] - 1 in calendar rows; NULL where either is."""
-    recent = F.lag("px", skip).over(_ASSET) if skip else F.col("px")
-    return F.try_divide(recent, F.lag("px", n).over(_ASSET)) - 1
+    recent = F.lag("px", skip).over(_asset()) if skip else F.col("px")
+    return F.try_divide(recent, F.lag("px", n).over(_asset())) - 1
 
 
 def trailing_return(rows: int, ret: str = "ret") -> Column:
@@ -70,15 +74,15 @@ def base_features(panel: DataFrame, market: DataFrame | None = None, beta_rows:
 
 def forward_return(h: int) -> Column:
     """px[+h] / px - 1."""
-    return F.try_divide(F.lead("px", h).over(_ASSET), F.col("px")) - 1
+    return F.try_divide(F.lead("px", h).over(_asset()), F.col("px")) - 1
 
 
 def forward_log_vol(h: int) -> Column:
     """ln(population deviation of the next `h` returns * sqrt(252)); NULL at the end of the calendar and where it is 0."""
-    ahead = _ASSET.rowsBetween(1, h)
+    ahead = _asset().rowsBetween(1, h)
     sd = F.stddev_pop("ret").over(ahead) * F.sqrt(F.lit(float(YEAR)))
     # a deviation of rounding errors alone is none
-    return F.when(F.lead("pos", h).over(_ASSET).isNotNull() & (sd > 1e-12), F.ln(sd))
+    return F.when(F.lead("pos", h).over(_asset()).isNotNull() & (sd > 1e-12), F.ln(sd))
 
 
 def signal(lookback: int, sign: int = 1, skip: int = 0) -> Column:
@@ -94,7 +98,7 @@ def sampled(df: DataFrame, start: int, step: int) -> DataFrame:
 def signal_panel(panel: DataFrame, lookback: int, horizon: int, sign: int = 1, skip: int = 0, warmup: int = 0) -> DataFrame:
     """d, pos, asset, sig, fwd at non-overlapping dates."""
     start = max(warmup, lookback + skip)
-    df = panel.withColumns({"sig": signal(lookback, sign, skip), "fwd": forward_return(horizon), "ahead": F.lead("pos", horizon).over(_ASSET)})
+    df = panel.withColumns({"sig": signal(lookback, sign, skip), "fwd": forward_return(horizon), "ahead": F.lead("pos", horizon).over(_asset())})
     return sampled(df.where("ahead IS NOT NULL"), start, horizon).select("d", "pos", "asset", "sig", "fwd")
 
 

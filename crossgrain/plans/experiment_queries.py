@@ -9,12 +9,18 @@ from crossgrain.operators import models as M
 from crossgrain.plans import experiments as E
 from crossgrain.plans.catalog import register
 from crossgrain.plans.graph_queries import ASOF_POS
-from crossgrain.plans.panel_queries import months, weeks
+from crossgrain.plans.panel_queries import months
 from crossgrain.sources import panels as P
+from crossgrain.sources.scratch import materialize
+
+
+def weeks(spark, sf_dir):
+    """The brand panel, written once: a study reads it many times."""
+    return materialize(P.with_returns(P.brand_week(spark, sf_dir)), "panel")
 
 
 def weekly_edges(panel, kind="correlation", start=64, step=5):
-    return E.G.make_graph(kind, panel, E.rebalances(panel, start, step), None, 60, 5)
+    return materialize(E.G.make_graph(kind, panel, E.rebalances(panel, start, step), None, 60, 5), "edges")
 
 
 @register("x_ablation")
@@ -87,7 +93,7 @@ def x_coholding(spark, sf_dir):
     edges = E.G.coholding_links(h.select(F.col("snapshot").alias("as_of"), "holder", "asset"))
     shown = E.G.asof_snapshot(E.rebalances(panel, 64, 5).select(F.col("as_of").alias("d")), h.select("public")).where("as_of IS NOT NULL").select("d", (F.year("as_of") - 1).alias("snapshot"))
     dated = edges.join(F.broadcast(shown), edges["as_of"] == shown["snapshot"]).select(F.col("d").alias("as_of"), "src", "dst", "weight")
-    return E.leadlag(panel, dated)
+    return E.leadlag(panel, materialize(dated, "edges"))
 
 
 @register("gbm_predictions")

@@ -22,6 +22,7 @@ from crossgrain.operators import resampling as RS
 from crossgrain.operators import risk as R
 from crossgrain.operators import splits as S
 from crossgrain.sources import panels as P
+from crossgrain.sources.scratch import materialize
 
 
 def rebalances(panel: DataFrame, start: int, step: int) -> DataFrame:
@@ -63,15 +64,15 @@ def rebalance_folds(as_ofs: DataFrame, horizon: int, step: int, n_test: int, min
 def ablation(panel: DataFrame, sectors: DataFrame, kinds: tuple[str, ...] = ("none", "correlation", "sector", "rewire"), horizon: int = 5, start: int = 64, step: int = 5, n_test: int = 10, min_train: int = 20) -> DataFrame:
     """graph, model, target and scores of out-of-sample ridge predictions; families by target, null controls outside."""
     as_ofs = rebalances(panel, start, step)
-    folds = rebalance_folds(as_ofs, horizon, step, n_test, min_train).persist()
+    folds = materialize(rebalance_folds(as_ofs, horizon, step, n_test, min_train), "folds")
     ics = None
     for kind in kinds:
-        data = build_dataset(panel, kind, as_ofs, sectors, horizon).persist()
+        data = materialize(build_dataset(panel, kind, as_ofs, sectors, horizon), "dataset")
         for target in ("y_ret", "y_vol"):
             preds = M.ridge_walk_forward(data, folds, [*FE.BASE_FEATURES, "nbr_ret"], target)
             ic = X.rank_ic(preds, "pred", "target", "pos").select(F.lit(kind).alias("graph"), F.lit("ridge").alias("model"), F.lit(target).alias("target"), F.col("pos").alias("d"), F.col("ic").alias("x"))
             ics = ic if ics is None else ics.unionByName(ic)
-    return scored(ics, "graph", "model", "target", family=("target",), excluded="graph IN ('rewire', 'random', 'none')")
+    return scored(materialize(ics, "series"), "graph", "model", "target", family=("target",), excluded="graph IN ('rewire', 'random', 'none')")
 
 
 def leadlag(panel: DataFrame, edges: DataFrame, lookback: int = 5, horizon: int = 5, seeds: tuple[int, ...] = (0, 1)) -> DataFrame:
@@ -79,15 +80,16 @@ def leadlag(panel: DataFrame, edges: DataFrame, lookback: int = 5, horizon: int
 
     `edges` has an as_of for each date to score. Means are over seeds; tests are of the first.
     """
-    base = panel.select(F.col("d").alias("as_of"), "asset", FE.trailing_return(lookback).alias("own"), FE.forward_return(horizon).alias("fwd")).persist()
+    base = materialize(panel.select(F.col("d").alias("as_of"), "asset", FE.trailing_return(lookback).alias("own"), FE.forward_return(horizon).alias("fwd")), "returns")
     ics = None
     for kind, graphs in (("real", [edges]), ("rewire", [G.degree_preserving_rewire(edges, s) for s in seeds])):
         for seed, e in enumerate(graphs):
             sig = N.weighted_neighbour_mean(e, base, "own").withColumnRenamed("nbr", "raw").join(base, ["as_of", "asset"])
-            sig = sig.withColumn("resid", FE.residual("raw", "own", "as_of"))
+            sig = materialize(sig.withColumn("resid", FE.residual("raw", "own", "as_of")), "signals")
             for name in ("raw", "resid"):
                 ic = X.rank_ic(sig, name, "fwd", "as_of").select(F.lit(kind).alias("edges"), F.lit(name).alias("signal"), F.lit(seed).alias("seed"), F.col("as_of").alias("d"), F.col("ic").alias("x"))
                 ics = ic if ics is None else ics.unionByName(ic)
+    ics = materialize(ics, "series")
     means = ics.groupBy("edges", "signal", "seed").agg(F.avg("x").alias("m")).groupBy("edges", "signal").agg(F.avg("m").alias("mean_ic"), F.stddev_pop("m").alias("seed_std"))
     tests = scored(ics.where("seed = 0").drop("seed"), "edges", "signal", excluded="edges = 'rewire'").drop("mean_ic")
     return means.join(tests, ["edges", "signal"])
@@ -99,15 +101,16 @@ def volatility_spillover(panel: DataFrame, edges: DataFrame, lookback: int = 20,
     ahead = w.rowsBetween(1, horizon)
     vols = panel.withColumns({"vol": FE.trailing_vol(lookback), "next": F.when(F.count("ret").over(ahead) == horizon, F.stddev_samp("ret").over(ahead))})
     vols = vols.withColumn("usual", F.avg("vol").over(w.rowsBetween(-60, -1)))
-    base = vols.select(F.col("d").alias("as_of"), "asset", (F.col("vol") - F.col("usual")).alias("innov"), "vol", (F.col("next") - F.col("usual")).alias("fwd")).persist()
+    base = vols.select(F.col("d").alias("as_of"), "asset", (F.col("vol") - F.col("usual")).alias("innov"), "vol", (F.col("next") - F.col("usual")).alias("fwd"))
+    base = materialize(base, "volatility")
     ics = None
     for kind, e in (("real", edges), ("rewire", G.degree_preserving_rewire(edges, seed))):
         sig = N.present_neighbour_mean(e, base, "innov").withColumnRenamed("nbr", "spill_raw").join(base, ["as_of", "asset"])
-        sig = sig.withColumn("spill_resid", FE.residual_of_two("spill_raw", "innov", "vol", "as_of"))
+        sig = materialize(sig.withColumn("spill_resid", FE.residual_of_two("spill_raw", "innov", "vol", "as_of")), "signals")
         for name in ("spill_raw", "spill_resid", *(["innov"] if kind == "real" else [])):
             ic = X.rank_ic(sig, name, "fwd", "as_of").select(F.lit(kind).alias("edges"), F.lit("own_vol" if name == "innov" else name).alias("signal"), F.col("as_of").alias("d"), F.col("ic").alias("x"))
             ics = ic if ics is None else ics.unionByName(ic)
-    return scored(ics, "edges", "signal", excluded="edges = 'rewire' OR signal = 'own_vol'")
+    return scored(materialize(ics, "series"), "edges", "signal", excluded="edges = 'rewire' OR signal = 'own_vol'")
 
 
 def confound_probe(panel: DataFrame, edges: DataFrame, lookback: int = 20, horizon: int = 5) -> DataFrame:
