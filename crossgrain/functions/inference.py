@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,8 +22,6 @@ def normal_cdf(x: float) -> float:
 
 def two_sided_p_column(t: Column) -> Column:
     """`two_sided_p` over Arrow batches; for columns of results, a row a series."""
-    import pandas as pd
-
     def p(x: pd.Series) -> pd.Series:
         return x.map(two_sided_p, na_action="ignore").astype(float)
 
