@@ -22,6 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,12 +155,10 @@ def classify(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> Data
 
 def score_column(model: Model, features: tuple[str, ...] = FEATURES) -> Column:
     """The score as a column of `features`: those alone go through Arrow, what else a row holds stays in the JVM."""
-    import pandas as pd
-
     def scored(x: pd.DataFrame) -> pd.Series:
         return pd.Series(model.score(x.to_numpy(np.float64)))
 
-    return F.pandas_udf(scored, "double", F.PandasUDFType.SCALAR)(F.struct(*features))
+    return F.pandas_udf(scored, "double")(F.struct(*features))
 
 
 def accept_documents(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:

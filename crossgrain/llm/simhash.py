@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossgrain.llm.components import connected
-from crossgrain.llm.text import bound_batches
+from crossgrain.llm.text import bound_batches, give_back_memory
 from crossgrain.sources.scratch import materialize
 from crossgrain.sources.tables import table
 
@@ -40,7 +40,7 @@ COUNT_BITS = 16
 #: Leaves of a frontier node: a part of all, between these; beyond 33 million leaves, 1/256 of them.
 LEAST_LEAVES, MOST_LEAVES, LEAST_NODES, MOST_NODES = 64, 131_072, 12, 256
 #: Node pairs, or pairs of leaves, that a task has as arrays at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _ROWS = 128
 
 
@@ -91,6 +91,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, word_set_s
                 width = len(word_set_seeds) or 1
                 lists = pa.ListArray.from_arrays(pa.array(range(0, len(fps) * width + 1, width), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "fps"])
+        give_back_memory()
 
     bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fps array<long>")
@@ -254,6 +255,7 @@ def near_links(leaves: DataFrame, budget: int = MAX_BITS) -> DataFrame:
         fps, side = group.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), group.column("side").to_numpy(zero_copy_only=False)
         left, right = np.sort(fps[side == 0]), np.sort(fps[side == 1])
         a, b = local_stars(left, right if len(right) else None, budget)
+        give_back_memory()
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return dealt.groupBy("task").applyInArrow(walked, "a long, b long")
@@ -293,7 +295,8 @@ def near_duplicates(docs: DataFrame, budget: int = MAX_BITS, shingle_words: int
 def keep_first(docs: DataFrame, budget: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, word_set_seeds: tuple[int, ...] = ()) -> DataFrame:
     """The rows of `docs` that are first, by doc_id, of their component, with all columns; of repeated rows one stays, and rows without a doc_id all do."""
     found = materialize(near_duplicates(docs, budget, shingle_words, word_set_seeds).select("doc_id", "component_id"), "simhash-kept")
-    later = found.where("doc_id <> component_id").select("doc_id").distinct()
+    # merged at every size: texts are dealt by doc_id once, whether few or many documents go
+    later = found.where("doc_id <> component_id").select("doc_id").distinct().hint("merge")
     kept = docs.join(later, "doc_id", "left_anti").select(docs.columns)
     repeated = materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-repeated")
     if repeated.isEmpty():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,3 +27,14 @@ def bound_batches(spark: SparkSession) -> None:
     """Makes Arrow batches small enough for rows that hold texts, unless the session sets a size of its own."""
     if spark.conf.get(_BATCH, "10000") == "10000":
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+def give_back_memory() -> None:
+    """Returns what a worker process holds but does not use; workers stay for later tasks, of other stages as well."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
