@@ -40,7 +40,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and token_ids of every document."""
-    tokens = byte_bpe.ids_as_arrays(byte_bpe.encode(docs.select("doc_id", "text")).select("doc_id", "token_ids"))
+    tokens = byte_bpe.ids_as_arrays(byte_bpe.encode(docs.select("doc_id", "text"), chars_at_once=1 << 20, cache_words=150_000).select("doc_id", "token_ids"))
     return tokens.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
 

@@ -27,6 +27,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossgrain.llm.text import bound_batches, give_back_memory
 from crossgrain.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -36,7 +37,9 @@ LONGEST_WORD = 512
 WORDS_AT_ONCE, TOKENS_AT_ONCE = 40_000, 400_000
 #: Characters whose words are cut at a time.
 CHARS_AT_ONCE = 1 << 22
-DUCKDB_MEMORY = "250MB"
+#: Rows of the batches that are handed on.
+ROWS_OUT = 256
+DUCKDB_MEMORY = "200MB"
 
 # best: rank, place and next place of a word's leftmost pair of minimum rank, in 17, 23 and 23 bits
 _PAIRS = """
@@ -60,7 +63,7 @@ DECODE = "SELECT doc, unhex(string_agg(hex, '' ORDER BY pos)) AS decoded FROM to
 class Tokenizer:
     """The vocabulary at `path`, in a DuckDB database of this process."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, cache_words: int = CACHE_WORDS):
         import duckdb
         import pyarrow as pa
         import regex
@@ -69,6 +72,7 @@ class Tokenizer:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.pattern = regex.compile(pattern)
         self.of_byte = [self.ranks[bytes([b])] for b in range(256)]
+        self.cache_words = cache_words
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
@@ -137,7 +141,7 @@ class Tokenizer:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.pattern.findall(t) for t in texts]
         new = set().union(*cut) - self.cache.keys()
-        if len(self.cache) + len(new) > CACHE_WORDS:
+        if len(self.cache) + len(new) > self.cache_words:
             self.cache, self.old = {}, self.cache
             new = set().union(*cut)
         met = new & self.old.keys()
@@ -175,7 +179,7 @@ def tokenizer(path: str | None = None, pattern: str | None = None) -> Tokenizer:
     return _tokenizers[key]
 
 
-def _with_columns(df: DataFrame, source: str, names: tuple[str, ...], convert, sizes, most: int) -> DataFrame:
+def _with_columns(df: DataFrame, source: str, names: tuple[str, ...], convert, sizes, most: int, path: str | None, pattern: str | None) -> DataFrame:
     """`df` with binary columns `names` (in place of any so named) that `convert` makes of the list of `source` values of rows; at most `most` of `sizes` at a time."""
     keep = [c for c in df.columns if c not in names]
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), *(f"`{n}` binary" for n in names)])
@@ -183,23 +187,45 @@ def _with_columns(df: DataFrame, source: str, names: tuple[str, ...], convert, s
     def converted(batches):
         import pyarrow as pa
 
+        def done(held):
+            part = pa.Table.from_batches(held).combine_chunks()
+            new = convert(part.column(source).to_pylist())
+            out = pa.table([*[part.column(c) for c in keep], *[pa.array(x, pa.binary()) for x in new]], [*keep, *names])
+            yield from out.to_batches(max_chunksize=ROWS_OUT)
+
+        held, size = [], 0
         for whole in batches:
             for a, b in _runs([0 if x is None else sizes(x) for x in whole.column(source).to_pylist()], most):
                 part = whole.slice(a, b - a)
-                new = convert(part.column(source).to_pylist())
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], *[pa.array(x, pa.binary()) for x in new]], [*keep, *names])
-
+                n = sum(sizes(x) for x in part.column(source).to_pylist() if x is not None)
+                if held and size + n > most:
+                    yield from done(held)
+                    held, size = [], 0
+                held.append(part)
+                size += n
+        if held:
+            yield from done(held)
+        tokenizer(path, pattern).old.clear()
+        give_back_memory()
+
+    bound_batches(df.sparkSession)
     return df.mapInArrow(converted, schema)
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """`docs` (with text) and `token_ids`: little-endian unsigned 32-bit ids."""
-    return _with_columns(docs, "text", ("token_ids",), lambda texts: (tokenizer(path, pattern).encode([t or "" for t in texts]),), len, CHARS_AT_ONCE)
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, chars_at_once: int = CHARS_AT_ONCE, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """`docs` (with text) and `token_ids`: little-endian unsigned 32-bit ids. Fewer characters and words at once take less memory and more time."""
+
+    def convert(texts):
+        t = tokenizer(path, pattern)
+        t.cache_words = cache_words
+        return (t.encode([x or "" for x in texts]),)
+
+    return _with_columns(docs, "text", ("token_ids",), convert, len, chars_at_once, path, pattern)
 
 
 def decode(tokens: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """`tokens` (with token_ids) and `decoded`: the bytes that they stand for."""
-    return _with_columns(tokens, "token_ids", ("decoded",), lambda ids: (tokenizer(path, pattern).decode([x or b"" for x in ids]),), lambda x: len(x) // 4, TOKENS_AT_ONCE)
+    return _with_columns(tokens, "token_ids", ("decoded",), lambda ids: (tokenizer(path, pattern).decode([x or b"" for x in ids]),), lambda x: len(x) // 4, TOKENS_AT_ONCE, path, pattern)
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -210,7 +236,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
         ids = t.encode([x or "" for x in texts])
         return ids, [x for a, b in _runs([len(x) // 4 for x in ids], TOKENS_AT_ONCE) for x in t.decode(ids[a:b])]
 
-    return _with_columns(docs, "text", ("token_ids", "decoded"), convert, len, CHARS_AT_ONCE)
+    return _with_columns(docs, "text", ("token_ids", "decoded"), convert, len, CHARS_AT_ONCE, path, pattern)
 
 
 def ids_as_arrays(tokens: DataFrame) -> DataFrame:
