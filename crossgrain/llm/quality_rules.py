@@ -77,9 +77,7 @@ def with_metrics(docs: DataFrame) -> DataFrame:
         "doc_id", "doc_text", "lines", "n_words",
         F.expr("transform(filter(grams, (x, k) -> (k > 0 AND x.g = grams[greatest(k - 1, 0)].g) OR (k < size(grams) - 1 AND x.g = grams[least(k + 1, size(grams) - 1)].g)), x -> x.i)").alias("places"),
     )
-    return df.select(
-        "doc_id",
-        "doc_text",
+    metrics = F.struct(
         F.col("n_words").cast("long").alias("n_words"),
         F.length(F.translate("doc_text", T.SPACES, "")).cast("long").alias("word_chars"),
         (F.length("doc_text") - F.length(F.translate("doc_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -87,6 +85,9 @@ def with_metrics(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr("CAST(size(array_distinct(concat(places, transform(places, p -> p + 1), transform(places, p -> p + 2)))) AS BIGINT)").alias("n_repeat_words"),
     )
+    # a generator of one row: filters on metrics stay above it, where they would else be pushed down and take each
+    # metric apart into what it is made of, arrays within lambdas included
+    return df.select("doc_id", "doc_text", F.inline(F.array(metrics)))
 
 
 def rejects(rule: Rule) -> Column:
