@@ -35,6 +35,17 @@ def apply_delistings(panel: DataFrame, delistings: DataFrame) -> DataFrame:
     return panel.join(F.broadcast(patch), ["asset", "d"], "left").withColumn("px", F.coalesce("patch", "px")).drop("patch")
 
 
+def change_events(table: DataFrame, date: str, added: str, removed: str) -> DataFrame:
+    """date, asset, action of a table with a column of added and one of removed assets; rows without a date or an asset are none."""
+    events = table.select(F.col(date).cast("date").alias("date"), F.expr(f"stack(2, `{added}`, 'add', `{removed}`, 'remove') AS (asset, action)"))
+    return events.where("date IS NOT NULL AND trim(coalesce(asset, '')) <> ''").select("date", F.trim("asset").alias("asset"), "action")
+
+
+def static_sectors(spark: SparkSession, assets: list[str], known: dict[str, str]) -> DataFrame:
+    """asset and sector, each asset once; `other` for those that `known` does not have."""
+    return spark.createDataFrame([(a, known.get(a, "other")) for a in dict.fromkeys(assets)], "asset string, sector string")
+
+
 def filing_date(text: Column) -> Column:
     """The date of DD-MON-YYYY; NULL for anything else. Months come from a table, not from a locale."""
     parts = F.split(F.upper(text), "-")

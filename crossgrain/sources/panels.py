@@ -81,6 +81,17 @@ def holders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(year.alias("snapshot"), F.make_date(year + 1, F.lit(2), F.lit(15)).alias("public"), F.col("o_custkey").alias("holder"), F.col("p_brand").alias("asset")).distinct()
 
 
+def read_market(spark: SparkSession, path: str) -> DataFrame:
+    """A stored panel (d, asset, px, volume) as a dense one; a path that is not there raises, and no other data stands in for it."""
+    return dense_grid(spark.read.parquet(path).select(F.col("d").cast("date").alias("d"), "asset", F.nanvl("px", F.lit(None).cast("double")).alias("px"), "volume"))
+
+
+def manifest(panel: DataFrame) -> dict:
+    """Dates, shape and assets of a panel, for a drift check beside its content hash."""
+    r = panel.agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count_distinct("d").alias("dates"), F.count_distinct("asset").alias("assets")).first()
+    return {"first": str(r["first"]), "last": str(r["last"]), "dates": r["dates"], "assets": r["assets"]}
+
+
 #: The same panels as DuckDB tables: `panel` and `rets`.
 _GRID = """
 calendar AS (SELECT d, row_number() OVER (ORDER BY d) - 1 AS pos FROM (SELECT DISTINCT d FROM cells)),

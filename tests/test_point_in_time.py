@@ -132,3 +132,29 @@ def test_tranches_do_not_see_the_future(panel):
 
     first = lambda p: sorted(map(tuple, tranche_returns(p, 5, 3, 0.25).where("pos <= 90").collect()))
     assert first(panel) == first(corrupted(panel, 90)) and np.isfinite([r[2] for r in first(panel)]).all()
+
+
+def test_change_events_and_sectors(spark):
+    table = spark.createDataFrame([("2020-01-02", "AAA", None), ("2020-02-03", " BBB ", "CCC"), (None, "DDD", "EEE"), ("2020-03-04", "", "FFF")], "day string, up string, down string")
+    got = sorted(map(tuple, U.change_events(table, "day", "up", "down").collect()))
+    assert got == [(dt.date(2020, 1, 2), "AAA", "add"), (dt.date(2020, 2, 3), "BBB", "add"), (dt.date(2020, 2, 3), "CCC", "remove"), (dt.date(2020, 3, 4), "FFF", "remove")]
+    assert sorted(map(tuple, U.static_sectors(spark, ["B", "A", "B"], {"A": "tech"}).collect())) == [("A", "tech"), ("B", "other")]
+
+
+def test_stored_market_manifest_and_format(spark, panel, tmp_path):
+    from crossgrain.functions.format import formatted
+
+    panel.where("NOT (pos = 5 AND asset = 'A001')").select("d", "asset", "px", "volume").write.parquet(f"{tmp_path}/m")
+    back = P.read_market(spark, f"{tmp_path}/m")
+    assert back.count() == panel.count() and back.where("px IS NULL").count() == 1
+    assert P.manifest(back) == P.manifest(panel) and P.manifest(back)["assets"] == 8
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        P.read_market(spark, f"{tmp_path}/none")
+    row = formatted(spark.createDataFrame([("a", 1.23456, 1.5e-7, None)], "k string, x double, ci double, z double"), ("ci",)).first()
+    assert tuple(row) == ("a", "1.2346", "1.500e-07", "-")
+
+
+def test_delisting_without_a_price_or_a_date_changes_nothing(spark, panel):
+    plain = panel.select("d", "pos", "asset", "px")
+    late = spark.createDataFrame([("A001", dt.date(2030, 1, 1), -0.5), ("ZZZ", dt.date(2014, 2, 1), -0.5)], "asset string, date date, final_return double")
+    assert U.apply_delistings(plain, late).exceptAll(plain.select("asset", "d", "pos", "px")).count() == 0
