@@ -11,6 +11,7 @@ from crossgrain.functions import inference as I
 from crossgrain.operators import features as FE
 from crossgrain.plans.catalog import register
 from crossgrain.sources import panels as P
+from crossgrain.sources.scratch import materialize
 
 SM, BW, UD = P.SUPPLIER_MONTH_SQL, P.BRAND_WEEK_SQL, P.USER_DAY_SQL
 W_ASSET = "(PARTITION BY asset ORDER BY pos"
@@ -167,9 +168,9 @@ def long_short_spread(spark, sf_dir):
 
 def ic_frame(spark, sf_dir):
     """key, d, x: the series of rank correlations of both signals."""
-    s = signals(spark, sf_dir)
+    s = materialize(signals(spark, sf_dir), "signals")
     one = lambda name, col: X.rank_ic(s, col, "fwd", "d").select(F.lit(name).alias("key"), "d", F.col("ic").alias("x"))
-    return one("reversal", "sig").unionByName(one("momentum", "mom"))
+    return materialize(one("reversal", "sig").unionByName(one("momentum", "mom")), "series")
 
 
 _A, _B = X.rank_ic_sql("signals", "sig", "fwd"), X.rank_ic_sql("signals", "mom", "fwd").replace("ranked_ic", "ranked_mom").replace("ic_series", "mom_series")
@@ -240,7 +241,7 @@ def naive_vol_forecast(spark, sf_dir):
 @register("paired_ic_diff", f"""WITH {IC_FRAME_SQL}, ics2 AS (SELECT 'diff' AS key, a.d, a.ic - b.ic AS ic FROM ic_series a JOIN mom_series b ON a.d = b.d), {I.newey_west_sql('ics2', 'key', 'd')}
 SELECT key, n, round(mean, 6) AS mean, round(t, 5) AS t FROM hac""")
 def paired_ic_diff(spark, sf_dir):
-    s = signals(spark, sf_dir)
+    s = materialize(signals(spark, sf_dir), "signals")
     a, b = X.rank_ic(s, "sig", "fwd", "d"), X.rank_ic(s, "mom", "fwd", "d").withColumnRenamed("ic", "ic2")
     diff = a.select("d", "ic").join(b.select("d", "ic2"), "d").select(F.lit("diff").alias("key"), "d", (F.col("ic") - F.col("ic2")).alias("x"))
     return I.newey_west(diff, "d", "key").select("key", "n", F.round("mean", 6).alias("mean"), F.round("t", 5).alias("t"))

@@ -15,6 +15,7 @@ from crossgrain.operators import risk as R
 from crossgrain.plans.catalog import register
 from crossgrain.plans.panel_queries import BW, SIGNALS_SQL, SM, W_ASSET, months, rounded, signals, weeks
 from crossgrain.sources import panels as P
+from crossgrain.sources.scratch import materialize
 
 LIQ_SQL = f"""liq AS (SELECT d, asset, CASE WHEN count(px * volume) OVER w = 12 THEN avg(px * volume) OVER w END AS liq FROM panel WINDOW w AS {W_ASSET} ROWS 11 PRECEDING)),
 lx AS (SELECT s.d, s.asset, sig, fwd, liq FROM signals s JOIN liq USING (d, asset)),
@@ -81,7 +82,7 @@ GRID = [(lb, h) for lb in (1, 5, 21) for h in (1, 5, 21)]
 
 def config_matrix(spark, sf_dir):
     """config, d, r of a 3 by 3 grid of lookbacks and horizons."""
-    p = weeks(spark, sf_dir)
+    p = materialize(weeks(spark, sf_dir), "panel")  # nine strategies read it
     out = None
     for k, (lb, h) in enumerate(GRID):
         one = PF.tranche_returns(p, lb, h).select(F.lit(k).alias("config"), "d", "r")
@@ -123,8 +124,7 @@ cscv AS (SELECT sr.mask, max(best) AS best, sum(CAST(o <= bo AS INT)) AS rank FR
 
 
 def cscv_splits(spark, sf_dir):
-    m = PF.aligned(config_matrix(spark, sf_dir), len(GRID))
-    m = m.persist()
+    m = materialize(PF.aligned(config_matrix(spark, sf_dir), len(GRID)), "configs")
     n = m.where("config = 0").count()
     return PF.cscv(m, n, len(GRID), BLOCKS, 4)
 
@@ -155,7 +155,7 @@ de AS (SELECT as_of, CASE WHEN gamma <= 0 THEN 0 ELSE least(greatest((pi - rho)
 def cov_pairs(spark, sf_dir):
     spread = spark.createDataFrame([(e, p) for e in (200, 320) for p in range(e - 119, e + 1)], "as_of int, pos int")
     rows = weeks(spark, sf_dir).join(F.broadcast(spread), "pos").select("as_of", "pos", "asset", "ret")
-    return R.pair_moments(R.complete_case(rows, "as_of"), "as_of")
+    return materialize(R.pair_moments(R.complete_case(materialize(rows, "window"), "as_of"), "as_of"), "pairs")
 
 
 @register("sample_cov_pairs", f"WITH {COV_SQL} SELECT as_of, i, j, t, round(cov * 1e6, 4) + 0.0 AS cov FROM pm")
