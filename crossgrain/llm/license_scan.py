@@ -134,7 +134,7 @@ def prefix_index(spark: SparkSession, templates: list[Template], ranks: dict[str
 
 
 def block_matches(blocks: DataFrame, templates: list[Template], threshold: float = THRESHOLD) -> DataFrame:
-    """Each block of `blocks` (row_key, blocks) that meets a template: row_key, block_no, template, template_label, containment.
+    """Each block of `blocks` (row_key, blocks) that meets a template: row_key, block_no, template, template_label, n (its words), containment.
 
     A pair may come once for each shared prefix word.
     """
@@ -152,10 +152,22 @@ def block_matches(blocks: DataFrame, templates: list[Template], threshold: float
         .where(F.least(n - F.col("template_place"), m - F.col("block_place")) >= F.col("need"))
         .select("row_key", "block_no", "template", "template_label", "need", n.alias("n"), F.size(F.array_intersect("b", "template_words")).alias("shared"))
         .where("shared >= need")
-        .select("row_key", "block_no", "template", "template_label", (F.col("shared") / F.col("n")).alias("containment"))
+        .select("row_key", "block_no", "template", "template_label", "n", (F.col("shared") / F.col("n")).alias("containment"))
     )
 
 
+def best_labels(matches: DataFrame) -> DataFrame:
+    """row_key, found, containment: of each block's matches those of the greatest containment and, among them, of the longest templates.
+
+    A notice of one license holds most words of a shorter notice of another. A block has as many matches as there are
+    templates at most.
+    """
+    match = F.struct("containment", "n", "template_label")
+    blocks = matches.groupBy("row_key", "block_no").agg(F.max(F.struct("containment", "n")).alias("best"), F.collect_set(match).alias("all"))
+    labels = F.transform(F.filter("all", lambda m: (m["containment"] == F.col("best.containment")) & (m["n"] == F.col("best.n"))), lambda m: m["template_label"])
+    return blocks.select("row_key", labels.alias("labels"), "best.containment").groupBy("row_key").agg(F.array_distinct(F.flatten(F.collect_set("labels"))).alias("found"), F.max("containment").alias("containment"))
+
+
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, phrases: tuple[tuple[str, str], ...] = PHRASES, block_separator: str = "\n") -> DataFrame:
     """A row for each of `docs` (doc_id, text): n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -163,7 +175,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     """
     parsed = parse_templates(templates)
     base = materialize(with_blocks(docs, parsed, threshold, phrases, block_separator), "license-blocks")
-    found = block_matches(base.select("row_key", "blocks"), parsed, threshold).groupBy("row_key").agg(F.collect_set("template_label").alias("found"), F.max("containment").alias("containment"))
+    found = best_labels(block_matches(base.select("row_key", "blocks"), parsed, threshold))
     out = base.drop("blocks").join(found, "row_key", "left")
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_label_set", ",").alias("base_labels"),
@@ -192,11 +204,13 @@ WITH d AS (
 ), base AS (
   SELECT k, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM place GROUP BY k
 ), block AS (
-  SELECT k, regexp_extract_all(unnest(string_split(t, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS b FROM w
+  SELECT k, generate_subscripts(lines, 1) AS no, regexp_extract_all(unnest(lines), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS b FROM (SELECT k, string_split(t, chr(10)) AS lines FROM w)
 ), met AS (
-  SELECT k, label, len(list_intersect(words, b)) AS shared, len(words) AS n FROM block, template
+  SELECT k, no, label, len(list_intersect(words, b)) AS shared, len(words) AS n FROM block, template
+), ranked AS (
+  SELECT *, rank() OVER (PARTITION BY k, no ORDER BY shared / n DESC, n DESC) AS r FROM met WHERE shared >= ceil({THRESHOLD} * n - 1e-9)
 ), found AS (
-  SELECT k, list(DISTINCT label) AS found, max(shared / n) AS containment FROM met WHERE shared >= ceil({THRESHOLD} * n - 1e-9) GROUP BY k
+  SELECT k, list(DISTINCT label) AS found, max(shared / n) AS containment FROM ranked WHERE r = 1 GROUP BY k
 )
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
