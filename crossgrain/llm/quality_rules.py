@@ -50,7 +50,7 @@ BASE_RULES = (
 RULES = (
     *BASE_RULES,
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", "100 * n_dup_lines > 30 * n_lines"),
+    Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 15 * n_words"),
     Rule("capitals", f"2 * (char_length(doc_text) - char_length(translate(doc_text, '{UPPER}', ''))) > word_chars"),
@@ -175,7 +175,7 @@ WITH w AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
   NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words OR 10 * n_symbols > n_words
-    OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words
+    OR 2 * n_dup_lines > n_lines OR word_chars < 2 * n_words OR word_chars > 15 * n_words
     OR 2 * n_upper > word_chars OR 3 * n_digits > word_chars OR 100 * n_lost > word_chars) AS kept
 FROM all_metrics
 """
