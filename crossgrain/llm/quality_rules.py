@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from crossgrain.llm import text as T
 from crossgrain.sources.tables import table
 
-#: Rows that rule costs and selectivities are estimated on.
-SAMPLE_ROWS = 1000
+#: Rows that rule costs and selectivities are estimated on, and the most bytes of a text among them.
+SAMPLE_ROWS, SAMPLE_BYTES = 500, 100_000
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
@@ -101,12 +101,16 @@ class Estimate:
     share: float
 
 
-def cascade_order(metrics: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
+def cascade_order(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
     """`rules` in the order to run them: always the one with most rejections per second among the sample's documents that are left.
 
-    The driver gets one count for each pattern of rejections in the sample, at most `sample_rows`.
+    The sample is the first rows of `docs` (text) with texts of at most SAMPLE_BYTES: Spark takes them from as few
+    partitions as they need, and the driver has no more than their product. A limit within a plan would run all partitions.
     """
-    sample = metrics.limit(sample_rows).persist(StorageLevel.MEMORY_ONLY)
+    spark = docs.sparkSession
+    short = F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES
+    taken = [(None, r["text"]) for r in docs.select("text").where(short).limit(sample_rows).collect()]
+    sample = with_metrics(spark.createDataFrame(taken, "doc_id long, text string")).persist(StorageLevel.MEMORY_ONLY)
     try:
         total = sample.count()
         seconds = {}
@@ -140,7 +144,7 @@ def rejected_by(order: list[Estimate]) -> Column:
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The metrics of each row of `docs` (doc_id, text), `base_failed` and `kept`."""
     metrics = with_metrics(docs)
-    order = cascade_order(metrics, rules, sample_rows)
+    order = cascade_order(docs, rules, sample_rows)
     return metrics.select("*", (rejects(BASE_RULES[0]) | rejects(BASE_RULES[1])).alias("base_failed"), rejected_by(order).isNull().alias("kept"))
 
 

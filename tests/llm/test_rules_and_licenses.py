@@ -34,8 +34,8 @@ def test_no_documents(no_docs):
 
 
 def test_order_changes_no_verdict(spark, sf_dir):
-    m = Q.with_metrics(Q.table(spark, sf_dir, "documents"))
-    order = Q.cascade_order(m, Q.RULES, 300)
+    docs = Q.table(spark, sf_dir, "documents")
+    m, order = Q.with_metrics(docs), Q.cascade_order(docs, Q.RULES, 300)
     assert {e.rule.name for e in order} == {r.name for r in Q.RULES}
     kept = lambda o: sorted(r[0] for r in m.where(Q.rejected_by(o).isNull()).select("doc_id").collect())
     assert kept(order) == kept(order[::-1])
