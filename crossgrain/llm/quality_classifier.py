@@ -13,8 +13,8 @@ labelled rows for training; the driver gets one row a class. Scoring is a map ov
 Defined results: a null text counts as empty and an empty text has a score like any other; every row
 gives one row, repeated rows and null ids included (a null doc_id is never labelled and counts as not
 held out); labels that are null or neither 0 nor 1 are ignored; a label that is repeated counts as
-often as it stands; other columns are ignored; an empty table gives an empty result. Without rows of
-both classes the fit raises ValueError.
+often as it stands; other columns are ignored; an empty table gives an empty result. Without training rows
+of both classes there is nothing to tell apart: every score is (n1 + 1) / (n0 + n1 + 2), 0.5 without any.
 """
 
 from __future__ import annotations
@@ -91,9 +91,14 @@ class Gaussian:
 
 @dataclass(frozen=True)
 class Model:
-    classes: tuple[Gaussian, Gaussian]
+    """Without `classes`, every score is `constant`."""
+
+    classes: tuple[Gaussian, ...]
+    constant: float = 0.5
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        if not self.classes:
+            return np.full(len(x), self.constant)
         difference = self.classes[1].log_density(x) - self.classes[0].log_density(x)
         return 1 / (1 + np.exp(-np.clip(difference, -700, 700)))
 
@@ -105,7 +110,8 @@ def fit(labelled: DataFrame, features: tuple[str, ...] = FEATURES, diagonal: flo
     sums = [F.sum(f).alias(f"s{i}") for i, f in enumerate(features)] + [F.sum(F.col(features[i]) * F.col(features[j])).alias(f"q{i}_{j}") for i, j in pairs]
     rows = {r["label"]: r for r in labelled.groupBy("label").agg(F.count("*").alias("n"), *sums).collect()}
     if not {0, 1} <= rows.keys():
-        raise ValueError("training needs rows of both classes")
+        n0, n1 = (rows[c]["n"] if c in rows else 0 for c in (0, 1))
+        return Model((), (n1 + 1) / (n0 + n1 + 2))
     total = rows[0]["n"] + rows[1]["n"]
     means, covs = {}, {}
     for c in (0, 1):

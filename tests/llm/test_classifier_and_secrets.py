@@ -48,8 +48,16 @@ def test_held_out_rule_and_labels(spark):
     df = spark.createDataFrame([(i,) for i in range(100)] + [(None,)], "doc_id long").withColumn("h", C.held_out(F.col("doc_id")))
     assert all(r["h"] == (r["doc_id"] is not None and z.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in df.collect())
     stats = C.statistics(spark.createDataFrame([(1, "a"), (3, "b")], "doc_id long, text string"))
-    with pytest.raises(ValueError):
-        C.fitted(stats, spark.createDataFrame([(1, None), (3, 5)], "doc_id long, quality int"))
+    model = lambda rows: C.fitted(stats, spark.createDataFrame(rows, "doc_id long, quality int"))
+    assert model([(1, None), (3, 5), (None, 1)]) == C.Model((), 0.5) and model([(1, 1)]).constant == 2 / 3
+
+
+def test_empty_tables_and_one_class(spark, odd_docs, no_docs):
+    none, ones = spark.createDataFrame([], "doc_id long, quality int"), spark.createDataFrame([(d, 1) for d in range(1, 12)], "doc_id long, quality int")
+    assert C.classify(no_docs, ones).count() == C.accept_documents(no_docs, none).count() == 0
+    assert {r["score"] for r in C.classify(odd_docs, none).collect()} == {0.5} and C.accept_documents(odd_docs, none).count() == 0
+    kept = C.accept_documents(odd_docs, ones)
+    assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
 
 
 def test_accepting_keeps_columns(spark, sf_dir):
