@@ -158,3 +158,24 @@ def test_delisting_without_a_price_or_a_date_changes_nothing(spark, panel):
     plain = panel.select("d", "pos", "asset", "px")
     late = spark.createDataFrame([("A001", dt.date(2030, 1, 1), -0.5), ("ZZZ", dt.date(2014, 2, 1), -0.5)], "asset string, date date, final_return double")
     assert U.apply_delistings(plain, late).exceptAll(plain.select("asset", "d", "pos", "px")).count() == 0
+
+
+def test_frozen_graph_knows_the_first_date_only(spark, panel):
+    at = spark.createDataFrame([(dt.date(2014, 5, 1), 60), (dt.date(2014, 6, 1), 90)], "as_of date, as_of_pos int")
+    edges = lambda p: sorted(map(tuple, G.make_graph("frozen", p, at, k=3).collect()))
+    assert edges(panel) == edges(corrupted(panel, 60)) and len(edges(panel)) == 48
+    assert {e[1:] for e in edges(panel) if e[0].month == 5} == {e[1:] for e in edges(panel) if e[0].month == 6}
+    with pytest.raises(ValueError):
+        G.make_graph("nope", panel, at)
+
+
+def test_filing_tables_read_as_text(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("ACC\tCUSIP\tPUTCALL\n1\t007\t\n2\tNA\tPut\n")
+    got = U.read_filing_table(spark, f"{tmp_path}/t.tsv", ["CUSIP", "PUTCALL"]).collect()
+    assert [tuple(r) for r in got] == [("007", None), ("NA", "Put")]
+
+
+def test_train_validation_gap(spark):
+    train, valid = S.train_validation(spark.range(10).withColumnRenamed("id", "pos"), 10, 0.8, 2)
+    assert [r[0] for r in train.collect()] == [0, 1, 2, 3, 4, 5] and [r[0] for r in valid.collect()] == [8, 9]
+    assert S.purge_steps(5, 1) == 5 and S.purge_steps(5, 21) == 1 and S.purge_steps(5, 5, 3) == 3
