@@ -14,8 +14,10 @@ from crossgrain.llm import byte_bpe, decontaminate, quality_classifier, secret_s
 from crossgrain.sources.scratch import materialize
 from crossgrain.sources.tables import table
 
-#: Fingerprints of word sets link near copies that 4-word shingles miss; README has the figures.
-NEAR_SEEDS = (42, 43, 44)
+#: Fingerprints of word sets propose near copies that 4-word shingles miss; README has the figures.
+NEAR_SEEDS = (42, 43, 44, 45, 46)
+#: Of the sets of five-word shingles of two texts, from which on they are near copies.
+NEAR_JACCARD = 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest doc_id of each group of near copies."""
-    return simhash.keep_first(docs, word_set_seeds=NEAR_SEEDS)
+    return simhash.keep_first(docs, word_set_seeds=NEAR_SEEDS, least_jaccard=NEAR_JACCARD)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,14 @@ budget is one task, which walks its part with arrays, level by level and in bloc
 task returns no pairs but a spanning star for each set of its linked leaves, fewer rows than leaves.
 Components are joined from the stars by `components.connected`.
 
+Where `least_jaccard` is given, fingerprints only propose: distinct texts (of the same words in the same order,
+whatever their case and spaces) are nodes, and no link joins a component before the sets of five-word shingles of
+its two texts are compared. Star links are compared first, to their roots and to the text of the star that has
+the fewest shingles of its own, then every pair within the budget that these left in two components. A shingle
+that no other proposed text has can be in no intersection, and two texts differ in as many shingles at least as
+in bits of which each shingle of a text turns one; pairs that cannot reach the similarity for either are not made. So a large group of near copies does not give all its pairs, and no pair that reaches it is lost. A row without a doc_id,
+which always stays, proposes nothing there.
+
 Defined results: null and empty texts, and texts of white space, have fingerprint zero and are linked
 like any other; every row gives one row, repeated rows included; a null doc_id is linked but never an
 id of a component, which is null only where all its doc_ids are; other columns are ignored; an empty
@@ -35,6 +43,10 @@ from crossgrain.sources.tables import table
 SHINGLE_WORDS = 4
 MAX_BITS = 4
 SEED = 42
+#: Words of the shingles whose sets are compared where a Jaccard similarity is asked for.
+JACCARD_WORDS = 5
+#: Bits of the sketch that bounds from below how many shingles differ.
+SKETCH_BITS = 512
 #: Bits of a prefix that leaves are counted by.
 COUNT_BITS = 16
 #: Leaves of a frontier node: a part of all, between these; beyond 33 million leaves, 1/256 of them.
@@ -232,8 +244,8 @@ def task_routes(nodes: list[tuple[int, int]], budget: int) -> list[tuple[int, in
     return rows
 
 
-def near_links(leaves: DataFrame, budget: int = MAX_BITS) -> DataFrame:
-    """(a, b) star links that connect all of `leaves` (fp, distinct) within `budget` bits, and no others."""
+def _dealt(leaves: DataFrame, budget: int) -> DataFrame:
+    """`leaves` (fp and others) with task and side, a row for each task of its frontier node."""
     spark = leaves.sparkSession
     prefix = F.shiftrightunsigned("fp", 64 - COUNT_BITS).cast("int")
     counts = {r["p"]: r["n"] for r in leaves.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}
@@ -242,13 +254,17 @@ def near_links(leaves: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     routes = task_routes(nodes, budget)
     of_prefix = [(p, i) for i, (path, d) in enumerate(nodes) for p in counts if p >> (COUNT_BITS - d) == path]
     # both are bounded: 65,536 prefixes, and the pairs of a few hundred frontier nodes
-    dealt = (
-        leaves.select("fp", prefix.alias("p"))
-        .join(F.broadcast(spark.createDataFrame(of_prefix, "p int, node int")), "p")
-        .join(F.broadcast(spark.createDataFrame(routes, "node int, task int, side int")), "node")
-        .select("fp", "task", F.col("side").cast("byte").alias("side"))
+    return (
+        leaves.withColumn("p", prefix)
+        .join(F.broadcast(spark.createDataFrame(of_prefix, "p int, trie_node int")), "p")
+        .join(F.broadcast(spark.createDataFrame(routes, "trie_node int, task int, side int")), "trie_node")
+        .select(*leaves.columns, "task", F.col("side").cast("byte").alias("side"))
     )
 
+
+def near_links(leaves: DataFrame, budget: int = MAX_BITS) -> DataFrame:
+    """(a, b) star links that connect all of `leaves` (fp, distinct) within `budget` bits, and no others."""
+
     def walked(group):
         import pyarrow as pa
 
@@ -258,14 +274,81 @@ def near_links(leaves: DataFrame, budget: int = MAX_BITS) -> DataFrame:
         give_back_memory()
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return dealt.groupBy("task").applyInArrow(walked, "a long, b long")
+    return _dealt(leaves.select("fp"), budget).groupBy("task").applyInArrow(walked, "a long, b long")
+
+
+def open_pairs(fps: np.ndarray, side: np.ndarray, labels: np.ndarray, budget: int, possible=None) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y) of `fps` within `budget` bits whose labels differ: x of side 0 and y of side 1 or, without that side, any two once; `possible` says of places (x, y) which may be similar."""
+    own = not (side == 1).any()
+    sorted_rows = [np.flatnonzero(side == k)[np.argsort(fps[side == k], kind="stable")] for k in ((0,) if own else (0, 1))]
+    leaves, starts, sizes = zip(*(np.unique(fps[rows], return_index=True, return_counts=True) for rows in sorted_rows), strict=True)
+    out = []
+
+    def add(i: np.ndarray, j: np.ndarray, same: bool) -> None:
+        size = sizes[0][i] * sizes[-1][j]
+        ends = np.cumsum(size)
+        at, total = 0, int(ends[-1]) if len(ends) else 0
+        while at < total:  # rows below two leaves, in blocks
+            flat = np.arange(at, min(at + BLOCK, total))
+            k = np.searchsorted(ends, flat, side="right")
+            within = flat - (ends[k] - size[k])
+            u, v = within // sizes[-1][j[k]], within % sizes[-1][j[k]]
+            x, y = sorted_rows[0][starts[0][i[k]] + u], sorted_rows[-1][starts[-1][j[k]] + v]
+            keep = labels[x] != labels[y]
+            if same:
+                keep &= u < v
+            x, y = x[keep], y[keep]
+            if possible:
+                keep = possible(x, y)
+                x, y = x[keep], y[keep]
+            out.append((x, y))
+            at += BLOCK
+
+    for i, j in trie_pairs(leaves[0], None if own else leaves[1], budget):
+        add(i, j, False)
+    if own:
+        shared = np.flatnonzero(sizes[0] > 1)
+        add(shared, shared, True)
+    x, y = (np.concatenate([p[k] for p in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+    return x, y
+
+
+def near_pairs(rows: DataFrame, least: float, budget: int = MAX_BITS) -> DataFrame:
+    """(a, b) of all nodes of `rows` (node, fp, label, n, n_common, sketch) within `budget` bits whose labels differ and whose similarity may be `least`."""
 
+    def walked(group):
+        import pyarrow as pa
+
+        fps, side = group.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), group.column("side").to_numpy(zero_copy_only=False)
+        labels = group.column("label").combine_chunks().dictionary_encode()
+        labels = (labels.combine_chunks() if isinstance(labels, pa.ChunkedArray) else labels).indices.to_numpy(zero_copy_only=False)
+        n, common = (group.column(c).to_numpy(zero_copy_only=False) for c in ("n", "n_common"))
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
+
+        def possible(x, y):
+            shared = np.minimum(common[x], common[y])
+            may = shared >= least * (n[x] + n[y] - shared) - 1e-9
+            for at in range(0, len(x), 1 << 14):
+                part = slice(at, at + (1 << 14))
+                i, j = x[part], y[part]
+                differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1)
+                may[part] &= differ <= (n[i] + n[j]) * (1 - least) / (1 + least) + 1e-9
+            return may
+
+        x, y = open_pairs(fps, side, labels, budget, possible)
+        nodes = group.column("node")
+        found = pa.table({"a": nodes.take(pa.array(x)), "b": nodes.take(pa.array(y))})
+        give_back_memory()
+        return found
 
-def group_links(groups: DataFrame, width: int, budget: int) -> DataFrame:
-    """(a, b) links of `groups` (node, fps): equal or near under any of `width` fingerprints; a node that has one fingerprint is that."""
+    return _dealt(rows.select("node", "fp", "label", "n", "n_common", "sketch"), budget).groupBy("task").applyInArrow(walked, "a binary, b binary")
+
+
+def group_links(groups: DataFrame, width: int, budget: int, of_texts: bool = False) -> DataFrame:
+    """(a, b) links of `groups` (node, fps): equal or near under any of `width` fingerprints; a node that has one fingerprint is that, unless nodes are `of_texts`."""
     links = None
     for k in range(width):
-        if width == 1:
+        if width == 1 and not of_texts:
             found = near_links(groups.select(F.col("node").alias("fp")), budget)
         else:
             of_node = groups.select("node", F.col("fps")[k].alias("fp"))
@@ -292,9 +375,132 @@ def near_duplicates(docs: DataFrame, budget: int = MAX_BITS, shingle_words: int
     return rows.join(of_node, "node").select("doc_id", "fps", "component_id")
 
 
-def keep_first(docs: DataFrame, budget: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, word_set_seeds: tuple[int, ...] = ()) -> DataFrame:
+def text_key(data: bytes) -> bytes:
+    """Of the words of UTF-8 text in their order; texts of equal keys have equal shingles."""
+    from xxhash import xxh3_128_digest
+
+    return xxh3_128_digest(b" ".join(data.lower().split()))
+
+
+def shingle_set(data: bytes, n: int = JACCARD_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the n-word shingles of UTF-8 text; a shorter text is one shingle."""
+    from xxhash import xxh3_64_intdigest
+
+    words = data.lower().split()
+    return np.unique(np.fromiter((xxh3_64_intdigest(b" ".join(words[i : i + n])) for i in range(max(1, len(words) - n + 1))), np.uint64))
+
+
+def odd_bits(shingles: np.ndarray) -> bytes:
+    """SKETCH_BITS bits, each set if an odd number of `shingles` falls on it."""
+    counts = np.bincount((shingles % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS)
+    return np.packbits(counts & 1 == 1).tobytes()
+
+
+def keyed_fingerprints(docs: DataFrame, word_set_seeds: tuple[int, ...]) -> DataFrame:
+    """doc_id, node (the text's key) and fps of each row of `docs` (doc_id, text) that has a doc_id."""
+
+    def hashed(batches):
+        import pyarrow as pa
+
+        width = len(word_set_seeds)
+        for whole in batches:
+            for k in range(0, whole.num_rows, _ROWS):
+                b = whole.slice(k, _ROWS)
+                data = [(t or "").encode() for t in b.column("text").to_pylist()]
+                flat = np.array([word_set_fingerprints(d, word_set_seeds) for d in data], np.uint64).reshape(-1).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, width), pa.int32()), pa.array(flat, pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(text_key, data), pa.binary()), lists], ["doc_id", "node", "fps"])
+        give_back_memory()
+
+    bound_batches(docs.sparkSession)
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, fps array<long>")
+
+
+def shingles_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, shingles and their sketch of `nodes` (node, first_doc), read from the row of `docs` that has that doc_id and text."""
+
+    def hashed(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for k in range(0, whole.num_rows, _ROWS):
+                b, keys, sets, sketches = whole.slice(k, _ROWS), [], [], []
+                for key, text in zip(b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    if text_key(data := (text or "").encode()) == key:  # a doc_id may have several texts
+                        keys.append(key)
+                        found = shingle_set(data)
+                        sets.append(found.view(np.int64))
+                        sketches.append(odd_bits(found))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["node", "shingles", "sketch"])
+        give_back_memory()
+
+    found = docs.select("doc_id", "text").join(nodes.select("node", F.col("first_doc").alias("doc_id")), "doc_id")
+    return found.select("node", "text").mapInArrow(hashed, "node binary, shingles array<long>, sketch binary").dropDuplicates(["node"])
+
+
+def shingle_counts(shingles: DataFrame) -> DataFrame:
+    """node, n (its shingles) and n_common (those that another node of `shingles` has too)."""
+    own = shingles.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1").groupBy("node").agg(F.count("*").alias("own"))
+    return shingles.select("node", F.size("shingles").cast("long").alias("n")).join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n_common"))
+
+
+def hub_links(stars: DataFrame, counts: DataFrame) -> DataFrame:
+    """`stars` (a, b), and (a, b) links of each star's nodes to the one of them that has the least share of shingles of its own."""
+    ends = stars.select("b", F.col("a").alias("node")).unionByName(stars.select("b", F.col("b").alias("node"))).distinct()
+    hubs = ends.join(counts, "node").groupBy("b").agg(F.max(F.struct(F.col("n_common") / F.col("n"), "n", "node")).alias("hub")).select("b", F.col("hub.node").alias("hub"))
+    return stars.select("a", "b").unionByName(ends.join(hubs, "b").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+
+
+def similar(pairs: DataFrame, shingles: DataFrame, counts: DataFrame, least: float) -> DataFrame:
+    """The distinct pairs (a, b) of `pairs` whose shingle sets have a Jaccard similarity of `least` or more."""
+    of = lambda t, *names: t.toDF(*names)
+    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    most = F.least("ca", "cb")
+    once = once.join(of(counts, "a", "na", "ca"), "a").join(of(counts, "b", "nb", "cb"), "b").where(most >= least * (F.col("na") + F.col("nb") - most) - 1e-9).select("a", "b")
+    once = materialize(once, "simhash-pairs")
+    both = once.join(of(shingles.select("node", "shingles"), "a", "sa"), "a").join(of(shingles.select("node", "shingles"), "b", "sb"), "b")
+    shared = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    return shared.where(F.col("shared") >= least * (F.col("n") - F.col("shared")) - 1e-9).select("a", "b")
+
+
+def verified_duplicates(docs: DataFrame, word_set_seeds: tuple[int, ...], least_jaccard: float, budget: int = MAX_BITS) -> DataFrame:
+    """doc_id and component_id of each row of `docs` (doc_id, text) that has a doc_id: components of the pairs that the fingerprints propose and whose Jaccard similarity is `least_jaccard` or more."""
+    rows = materialize(keyed_fingerprints(docs, word_set_seeds), "simhash-fingerprints")
+    groups = materialize(rows.groupBy("node", "fps").agg(F.min("doc_id").alias("first_doc")), "simhash-groups")
+    alone = rows.join(groups.select("node", F.col("first_doc").alias("component_id")), "node").select("doc_id", "component_id")
+    if groups.isEmpty():
+        return alone
+    width = len(word_set_seeds)
+    # with one seed, too, a node is a text and no fingerprint
+    stars = materialize(group_links(groups, width, budget, of_texts=True), "simhash-stars")
+    proposed = materialize(groups.join(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "simhash-proposed")
+    if proposed.isEmpty():
+        return alone
+    shingles = materialize(shingles_of(docs, proposed), "simhash-shingles")
+    counts = materialize(shingle_counts(shingles), "simhash-counts")
+    links = materialize(similar(hub_links(stars, counts), shingles, counts, least_jaccard), "simhash-similar")
+    roots = materialize(connected(links), "simhash-roots")
+    open_ = materialize(proposed.join(counts, "node").join(shingles.select("node", "sketch"), "node").join(roots, "node", "left").select("node", "fps", "n", "n_common", "sketch", F.coalesce("root", "node").alias("label")), "simhash-open")
+    pairs = None
+    for k in range(width):
+        found = near_pairs(open_.select("node", F.col("fps")[k].alias("fp"), "label", "n", "n_common", "sketch"), least_jaccard, budget)
+        pairs = found if pairs is None else pairs.unionByName(found)
+    more = materialize(similar(pairs, shingles, counts, least_jaccard), "simhash-similar")
+    if not more.isEmpty():
+        roots = materialize(connected(links.unionByName(more)), "simhash-roots")
+    ids = materialize(roots.join(groups, "node").groupBy("root").agg(F.min("first_doc").alias("component_id")), "simhash-ids")
+    linked = materialize(roots.join(ids, "root").select("node", "component_id"), "simhash-linked")
+    of_node = materialize(groups.join(linked, "node", "left").select("node", F.coalesce("component_id", "first_doc").alias("component_id")), "simhash-components")
+    return rows.join(of_node, "node").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, budget: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, word_set_seeds: tuple[int, ...] = (), least_jaccard: float | None = None) -> DataFrame:
     """The rows of `docs` that are first, by doc_id, of their component, with all columns; of repeated rows one stays, and rows without a doc_id all do."""
-    found = materialize(near_duplicates(docs, budget, shingle_words, word_set_seeds).select("doc_id", "component_id"), "simhash-kept")
+    if least_jaccard is None:
+        linked = near_duplicates(docs, budget, shingle_words, word_set_seeds)
+    else:
+        linked = verified_duplicates(docs, word_set_seeds, least_jaccard, budget)
+    found = materialize(linked.select("doc_id", "component_id"), "simhash-kept")
     # merged at every size: texts are dealt by doc_id once, whether few or many documents go
     later = found.where("doc_id <> component_id").select("doc_id").distinct().hint("merge")
     kept = docs.join(later, "doc_id", "left_anti").select(docs.columns)

@@ -143,6 +143,32 @@ def test_keep_first_takes_one_of_each_group(spark):
     assert got.columns == docs.columns and sorted(r["doc_id"] or 0 for r in got.collect()) == [0, 1, 4]
 
 
+def test_near_copies_are_compared_before_one_goes(spark):
+    words = prose(200, 7).split()
+    shuffled = " ".join(sorted(words))
+    half = " ".join(words[:100] + prose(20, 8).split() + words[100:])  # Jaccard 192 / 220
+    far = " ".join(w for i, w in enumerate(words) if i % 20)  # nearly the same words, few of the shingles
+    rows = [(1, " ".join(words)), (2, shuffled), (3, half), (4, far), (5, " ".join(words * 3)), (6, " ".join(words).upper()), (None, shuffled), (7, None), (8, " ")]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(r["doc_id"] or 0 for r in S.keep_first(docs, budget=20, word_set_seeds=(42, 43, 44), least_jaccard=0.8).collect())
+    sets = {d: {tuple((t or "").lower().split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} for d, t in rows if d}
+    want = [d for d in sets if not any(e < d and len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e]) for e in sets)]
+    assert got == sorted([0, *want]) and 2 in got and 4 in got and 3 not in got
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_open_pairs_equal_all_pairs(two):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 120, dtype=np.uint64)
+    fps = np.concatenate((base, base[:60], base[:60] ^ np.uint64(5)))
+    side, labels = rng.integers(0, 2, len(fps)) * two, rng.integers(0, 40, len(fps))
+    x, y = S.open_pairs(fps, side, labels, 4)
+    near = (np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4) & (labels[:, None] != labels[None, :])
+    want = {(i, j) for i, j in zip(*np.nonzero(near), strict=True) if (side[i] < side[j] if two else i < j)}
+    got = list(zip(x.tolist(), y.tolist(), strict=True))
+    assert len(got) == len(want) and {p if two else (min(p), max(p)) for p in got} == want
+
+
 @pytest.fixture(scope="module")
 def tiktoken_library():
     import public_tokenizers
