@@ -29,6 +29,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossgrain.llm.text import pieces
 from crossgrain.sources.scratch import materialize
 from crossgrain.sources.tables import table
 
@@ -85,15 +86,14 @@ def parse_messages(messages: DataFrame) -> DataFrame:
 
         hashed = lambda s: xxh3_64_intdigest(s.encode()) - (1 << 63)
         kinds = pa.list_(pa.struct([("level", pa.int32()), ("place", pa.int32()), ("hash", pa.int64())]))
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                b, contents, quotes, own_units = whole.slice(k, 512), [], [], []
-                for text in b.column("text").to_pylist():
-                    own, quoted = parse(text)
-                    contents.append(own)
-                    quotes.append([{"level": level, "place": i, "hash": hashed(n)} for i, (level, q) in enumerate(quoted) if (n := normalised(q))])
-                    own_units.append(sorted(map(hashed, units(own))))
-                yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("role"), pa.array(contents), pa.array(quotes, kinds), pa.array(own_units, pa.list_(pa.int64()))], ["conv_id", "turn", "role", "content", "quotes", "units"])
+        for b in pieces(batches, "text"):
+            contents, quotes, own_units = [], [], []
+            for text in b.column("text").to_pylist():
+                own, quoted = parse(text)
+                contents.append(own)
+                quotes.append([{"level": level, "place": i, "hash": hashed(n)} for i, (level, q) in enumerate(quoted) if (n := normalised(q))])
+                own_units.append(sorted(map(hashed, units(own))))
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("role"), pa.array(contents), pa.array(quotes, kinds), pa.array(own_units, pa.list_(pa.int64()))], ["conv_id", "turn", "role", "content", "quotes", "units"])
 
     return messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").mapInArrow(parsed, PARSED)
 

@@ -32,7 +32,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from crossgrain.llm.text import bound_batches
+from crossgrain.llm.text import pieces
 from crossgrain.sources.tables import table
 
 KINDS = ("assign", "access", "hex")
@@ -242,18 +242,14 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     def scanned(batches):
         import pyarrow as pa
 
-        for whole in batches:
-            for k in range(0, whole.num_rows, ROWS):
-                b = whole.slice(k, ROWS)
-                base, every = [], []
-                for text in b.column("text").to_pylist():
-                    base.append(in_order(base_spans(text or "")))
-                    every.append(joined(all_spans(text or "")))
-                counts = [pa.array([sum(s[0] == kind for s in spans) for spans in base], pa.int64()) for kind in KINDS]
-                hashes = pa.array([hashlib.sha256(joined(spans).encode()).hexdigest() for spans in base], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, hashes, pa.array(every, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-
-    bound_batches(docs.sparkSession)
+        for b in pieces(batches, "text"):
+            base, every = [], []
+            for text in b.column("text").to_pylist():
+                base.append(in_order(base_spans(text or "")))
+                every.append(joined(all_spans(text or "")))
+            counts = [pa.array([sum(s[0] == kind for s in spans) for spans in base], pa.int64()) for kind in KINDS]
+            hashes = pa.array([hashlib.sha256(joined(spans).encode()).hexdigest() for spans in base], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *counts, hashes, pa.array(every, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(scanned, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
@@ -264,14 +260,10 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     def cleaned(batches):
         import pyarrow as pa
 
-        for whole in batches:
-            for k in range(0, whole.num_rows, ROWS):
-                b = whole.slice(k, ROWS)
-                texts = [None if t is None else redacted(t, all_spans(t)) for t in b.column("text").to_pylist()]
-                new = {"text": pa.array(texts, b.schema.field("text").type), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
-                yield pa.RecordBatch.from_arrays([new[f.name].cast(f.type) if f.name in new else b.column(i) for i, f in enumerate(b.schema)], schema=b.schema)
-
-    bound_batches(docs.sparkSession)
+        for b in pieces(batches, "text"):
+            texts = [None if t is None else redacted(t, all_spans(t)) for t in b.column("text").to_pylist()]
+            new = {"text": pa.array(texts, b.schema.field("text").type), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
+            yield pa.RecordBatch.from_arrays([new[f.name].cast(f.type) if f.name in new else b.column(i) for i, f in enumerate(b.schema)], schema=b.schema)
     return docs.mapInArrow(cleaned, docs.schema)
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossgrain.llm.components import connected
-from crossgrain.llm.text import bound_batches, give_back_memory
+from crossgrain.llm.text import give_back_memory, pieces
 from crossgrain.sources.scratch import materialize
 from crossgrain.sources.tables import table
 
@@ -53,7 +53,6 @@ COUNT_BITS = 16
 LEAST_LEAVES, MOST_LEAVES, LEAST_NODES, MOST_NODES = 64, 131_072, 12, 256
 #: Node pairs, or pairs of leaves, that a task has as arrays at a time.
 BLOCK = 1 << 18
-_ROWS = 128
 
 
 def majority_bits(hashes: np.ndarray) -> int:
@@ -94,18 +93,14 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, word_set_s
     def hashed(batches):
         import pyarrow as pa
 
-        for whole in batches:
-            for k in range(0, whole.num_rows, _ROWS):
-                b = whole.slice(k, _ROWS)
-                data = [(t or "").encode() for t in b.column("text").to_pylist()]
-                fps = [word_set_fingerprints(d, word_set_seeds) if word_set_seeds else [fingerprint(d, shingle_words)] for d in data]
-                flat = pa.array(np.array(fps, np.uint64).reshape(-1).view(np.int64), pa.int64())
-                width = len(word_set_seeds) or 1
-                lists = pa.ListArray.from_arrays(pa.array(range(0, len(fps) * width + 1, width), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "fps"])
+        for b in pieces(batches, "text"):
+            data = [(t or "").encode() for t in b.column("text").to_pylist()]
+            fps = [word_set_fingerprints(d, word_set_seeds) if word_set_seeds else [fingerprint(d, shingle_words)] for d in data]
+            flat = pa.array(np.array(fps, np.uint64).reshape(-1).view(np.int64), pa.int64())
+            width = len(word_set_seeds) or 1
+            lists = pa.ListArray.from_arrays(pa.array(range(0, len(fps) * width + 1, width), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists], ["doc_id", "fps"])
         give_back_memory()
-
-    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fps array<long>")
 
 
@@ -403,16 +398,12 @@ def keyed_fingerprints(docs: DataFrame, word_set_seeds: tuple[int, ...]) -> Data
         import pyarrow as pa
 
         width = len(word_set_seeds)
-        for whole in batches:
-            for k in range(0, whole.num_rows, _ROWS):
-                b = whole.slice(k, _ROWS)
-                data = [(t or "").encode() for t in b.column("text").to_pylist()]
-                flat = np.array([word_set_fingerprints(d, word_set_seeds) for d in data], np.uint64).reshape(-1).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, width), pa.int32()), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(text_key, data), pa.binary()), lists], ["doc_id", "node", "fps"])
+        for b in pieces(batches, "text"):
+            data = [(t or "").encode() for t in b.column("text").to_pylist()]
+            flat = np.array([word_set_fingerprints(d, word_set_seeds) for d in data], np.uint64).reshape(-1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(range(0, len(flat) + 1, width), pa.int32()), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(text_key, data), pa.binary()), lists], ["doc_id", "node", "fps"])
         give_back_memory()
-
-    bound_batches(docs.sparkSession)
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, fps array<long>")
 
 
@@ -422,16 +413,15 @@ def shingles_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     def hashed(batches):
         import pyarrow as pa
 
-        for whole in batches:
-            for k in range(0, whole.num_rows, _ROWS):
-                b, keys, sets, sketches = whole.slice(k, _ROWS), [], [], []
-                for key, text in zip(b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    if text_key(data := (text or "").encode()) == key:  # a doc_id may have several texts
-                        keys.append(key)
-                        found = shingle_set(data)
-                        sets.append(found.view(np.int64))
-                        sketches.append(odd_bits(found))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["node", "shingles", "sketch"])
+        for b in pieces(batches, "text"):
+            keys, sets, sketches = [], [], []
+            for key, text in zip(b.column("node").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if text_key(data := (text or "").encode()) == key:  # a doc_id may have several texts
+                    keys.append(key)
+                    found = shingle_set(data)
+                    sets.append(found.view(np.int64))
+                    sketches.append(odd_bits(found))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["node", "shingles", "sketch"])
         give_back_memory()
 
     found = docs.select("doc_id", "text").join(nodes.select("node", F.col("first_doc").alias("doc_id")), "doc_id")

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm.text import bound_batches
+from crossgrain.llm.text import pieces
 from crossgrain.sources.scratch import materialize
 from crossgrain.sources.tables import table
 
@@ -48,7 +48,6 @@ BITMAP_BITS = 1 << 27
 SHARD_CHARS = 4_000_000
 #: Rows of a table with no more rows than shards that are broadcast.
 MOST_BROADCAST = 100_000
-_ROWS = 128
 _ODD = np.random.default_rng(977).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -132,12 +131,10 @@ def document_anchors(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     def found(batches):
         import pyarrow as pa
 
-        for whole in batches:
-            for k in range(0, whole.num_rows, _ROWS):
-                part = whole.slice(k, _ROWS)
-                each = [np.unique(anchors_and_windows(_split(t), window, phrase)[0]) for t in part.column("text").to_pylist()]
-                ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), list(map(len, each)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).view(np.int64)), pa.array(ids, pa.int64())], ["anchor", "doc_id"])
+        for part in pieces(batches, "text"):
+            each = [np.unique(anchors_and_windows(_split(t), window, phrase)[0]) for t in part.column("text").to_pylist()]
+            ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), list(map(len, each)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(each).view(np.int64)), pa.array(ids, pa.int64())], ["anchor", "doc_id"])
 
     return docs.select("doc_id", "text").mapInArrow(found, "anchor long, doc_id long")
 
@@ -148,21 +145,20 @@ def with_candidates(docs: DataFrame, cells, window: int, phrase: int) -> DataFra
     def found(batches):
         import pyarrow as pa
 
-        for whole in batches:
-            for k in range(0, whole.num_rows, _ROWS):
-                part, n_words, hashes, texts, anchors = whole.slice(k, _ROWS), [], [], [], []
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    words = _split(text)
-                    seen = np.zeros(0, np.uint64) if doc_id is None else np.unique(anchors_and_windows(words, window, phrase)[0])
-                    seen = seen[in_bitmap(cells.value, seen)]
-                    n_words.append(len(words))
-                    hashes.append(None if len(seen) else _kept_hash(words))
-                    texts.append(text if len(seen) else None)
-                    anchors.append(seen.view(np.int64) if len(seen) else None)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string()), pa.array(anchors, pa.list_(pa.int64()))],
-                    ["doc_id", "n_words", "kept_sha256", "text", "anchors"],
-                )
+        for part in pieces(batches, "text"):
+            n_words, hashes, texts, anchors = [], [], [], []
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                words = _split(text)
+                seen = np.zeros(0, np.uint64) if doc_id is None else np.unique(anchors_and_windows(words, window, phrase)[0])
+                seen = seen[in_bitmap(cells.value, seen)]
+                n_words.append(len(words))
+                hashes.append(None if len(seen) else _kept_hash(words))
+                texts.append(text if len(seen) else None)
+                anchors.append(seen.view(np.int64) if len(seen) else None)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string()), pa.array(anchors, pa.list_(pa.int64()))],
+                ["doc_id", "n_words", "kept_sha256", "text", "anchors"],
+            )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(found, "doc_id long, n_words long, kept_sha256 string, text string, anchors array<long>")
 
@@ -173,18 +169,17 @@ def candidate_windows(candidates: DataFrame, cells, window: int, phrase: int) ->
     def found(batches):
         import pyarrow as pa
 
-        for whole in batches:
-            for k in range(0, whole.num_rows, _ROWS):
-                part, anchors, hashes, sizes = whole.slice(k, _ROWS), [], [], []
-                for text in part.column("text").to_pylist():
-                    a, h, _ = anchors_and_windows(_split(text), window, phrase)
-                    hit = in_bitmap(cells.value, a)
-                    h, at = np.unique(h[hit], return_index=True)
-                    anchors.append(a[hit][at])
-                    hashes.append(h)
-                    sizes.append(len(h))
-                ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (anchors, hashes)] + [pa.array(ids, pa.int64())], ["anchor", "hash", "doc_id"])
+        for part in pieces(batches, "text"):
+            anchors, hashes, sizes = [], [], []
+            for text in part.column("text").to_pylist():
+                a, h, _ = anchors_and_windows(_split(text), window, phrase)
+                hit = in_bitmap(cells.value, a)
+                h, at = np.unique(h[hit], return_index=True)
+                anchors.append(a[hit][at])
+                hashes.append(h)
+                sizes.append(len(h))
+            ids = np.repeat(part.column("doc_id").to_numpy(zero_copy_only=False), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (anchors, hashes)] + [pa.array(ids, pa.int64())], ["anchor", "hash", "doc_id"])
 
     return candidates.select("doc_id", "text").mapInArrow(found, "anchor long, hash long, doc_id long")
 
@@ -201,17 +196,16 @@ def owned_passages(owners: DataFrame, window: int, phrase: int) -> DataFrame:
     def found(batches):
         import pyarrow as pa
 
-        for whole in batches:
-            for k in range(0, whole.num_rows, _ROWS):
-                part, rows = whole.slice(k, _ROWS), []
-                for doc_id, text, owned in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("hashes"), strict=True):
-                    words = _split(text)
-                    anchors, hashes, _ = anchors_and_windows(words, window, phrase)
-                    marks = np.isin(hashes, owned.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                    rows += [(doc_id, b" ".join(words[a : b + window - 1]), np.unique(anchors[a:b]).view(np.int64)) for a, b in _runs(marks)]
-                if rows:
-                    ids, passages, anchors = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(passages, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], ["owner", "passage", "anchors"])
+        for part in pieces(batches, "text"):
+            rows = []
+            for doc_id, text, owned in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("hashes"), strict=True):
+                words = _split(text)
+                anchors, hashes, _ = anchors_and_windows(words, window, phrase)
+                marks = np.isin(hashes, owned.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                rows += [(doc_id, b" ".join(words[a : b + window - 1]), np.unique(anchors[a:b]).view(np.int64)) for a, b in _runs(marks)]
+            if rows:
+                ids, passages, anchors = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(passages, pa.binary()), pa.array(anchors, pa.list_(pa.int64()))], ["owner", "passage", "anchors"])
 
     return owners.select("doc_id", "text", "hashes").mapInArrow(found, "owner long, passage binary, anchors array<long>")
 
@@ -303,7 +297,6 @@ def dedup_shards(texts: DataFrame, passages: DataFrame, window: int, phrase: int
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, bits: int = BITMAP_BITS, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
-    bound_batches(spark)
     every = document_anchors(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, phrase)
     shared = every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
     cells = spark.sparkContext.broadcast(bitmap(shared, bits))

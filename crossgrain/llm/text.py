@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What separates words: space and \t \n \v \f \r, and nothing else. `bytes.split()` splits at the same six.
@@ -18,15 +18,25 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
 
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Rows of an Arrow batch where rows hold whole texts; Spark's default of 10,000 is sized for numbers.
-BATCH_ROWS = 500
+#: Rows, and bytes of texts, that an operator has as Python objects at a time; a row at least. Spark itself ends an Arrow
+#: batch at 64 MB.
+ROWS, BYTES = 128, 1 << 23
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Makes Arrow batches small enough for rows that hold texts, unless the session sets a size of its own."""
-    if spark.conf.get(_BATCH, "10000") == "10000":
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+def pieces(batches, source: str, rows: int = ROWS, most: int = BYTES):
+    """Arrow `batches` in slices of at most `rows` rows and `most` bytes of the column `source`, one row at least."""
+    import pyarrow.compute as pc
+
+    for whole in batches:
+        sizes = pc.fill_null(pc.binary_length(whole.column(source)), 0).to_pylist()
+        start, held = 0, 0
+        for k, n in enumerate(sizes):
+            if k > start and (k - start >= rows or held + n > most):
+                yield whole.slice(start, k - start)
+                start, held = k, 0
+            held += n
+        if start < len(sizes):
+            yield whole.slice(start)
 
 
 def give_back_memory() -> None:

@@ -28,7 +28,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm.text import bound_batches
 from crossgrain.sources.scratch import materialize, scratch_path
 from crossgrain.sources.tables import table
 
@@ -119,8 +118,6 @@ def write_chunks(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFram
                 record_no += 1
         if rows:
             yield batch()
-
-    bound_batches(records.sparkSession)
     return records.select("page_id", "url", "payload", "refers_to").mapInArrow(written, CHUNKS)
 
 
