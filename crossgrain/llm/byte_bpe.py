@@ -6,11 +6,17 @@ contracts each word's leftmost pair of minimum rank, round after round, until no
 Words that are tokens as they stand need no merges. Decoding: token-position rows (document, place, id)
 join the vocabulary, and an aggregation ordered by place puts the bytes together.
 
+In a word of over `WHOLE_WORD` bytes a round contracts every pair that is of minimum rank among the pairs within
+the length of the longest token that the word's bytes allow. What is further away can reach the pair through one
+growing token only, which is never that long, so no earlier merge can touch it: the result is that of one pair a
+round, in rounds that do not grow with the word. Of pairs of one rank that overlap, every other from the left is
+contracted once the first of them is. Where a new token would have a pair of lower rank with what is beside it,
+the pairs of that rank that follow wait, and the leftmost goes alone.
+
 A worker keeps the words that it has encoded, in two generations of at most `CACHE_WORDS`: a full one
-becomes the old one, and what is met again moves on. DuckDB has one thread and bounded memory, and never
-writes to disk. A word of over `LONGEST_WORD` bytes, for which the
-rounds of a recursive query would grow with the square of its length, is merged with a heap instead,
-with the same result.
+becomes the old one, and what is met again moves on; words of over `WHOLE_WORD` bytes are not kept. DuckDB has
+one thread and bounded memory, and never writes to disk. A text's words are cut, and a document's ids decoded,
+in runs of bounded size.
 
 The merge table is built from the ranks by rule: each split of a token into two tokens is a pair.
 
@@ -22,20 +28,26 @@ result. Special tokens are ordinary text.
 from __future__ import annotations
 
 import base64
-import heapq
+from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm.text import bound_batches, give_back_memory
+from crossgrain.llm.text import give_back_memory, pieces
 from crossgrain.sources.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHE_WORDS = 500_000
-LONGEST_WORD = 512
-#: Words that go to a recursive query, and token rows that go to a decoding query, at a time.
-WORDS_AT_ONCE, TOKENS_AT_ONCE = 40_000, 400_000
-#: Characters whose words are cut at a time.
+#: Bytes of the longest words whose rounds contract one pair each.
+WHOLE_WORD = 64
+#: Rows of all rounds of a query, at the most: half the square of a word's bytes.
+ROWS_AT_ONCE = 1_500_000
+#: Bytes of long words that a query takes, one word at least, and its rounds.
+LONG_AT_ONCE, ROUNDS = 100_000, 8
+#: Token rows that go to a decoding query, and words that are cut from a text, at a time.
+TOKENS_AT_ONCE, WORDS_AT_ONCE = 400_000, 400_000
+#: Bytes of texts whose words are cut at a time; a longer text is cut in runs of words.
 CHARS_AT_ONCE = 1 << 22
 #: Rows of the batches that are handed on.
 ROWS_OUT = 256
@@ -57,6 +69,36 @@ WITH RECURSIVE step(w, pos, id, best) AS (
 )
 SELECT w, pos, id FROM step WHERE best IS NULL ORDER BY w, pos
 """
+# run: overlapping pairs of one rank; alone: the new token would have a pair of lower rank with a neighbour; take: contracted in this round
+_NEAR_PAIRS = """
+  SELECT w, pos, id, round, rank, open, coalesce(own = best OR rank = best >> 41 AND NOT alone AND (k - run) & 1 = 0 AND coalesce(last_alone < least(run, k - {reach}), true)
+    AND run = max(CASE WHEN k = run AND rank = best >> 41 THEN k END) OVER (PARTITION BY w ORDER BY pos ROWS UNBOUNDED PRECEDING), false) AS take
+  FROM (SELECT *, (rank :: BIGINT << 41) | pos AS own, min((rank :: BIGINT << 41) | pos) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN {reach} PRECEDING AND {reach} FOLLOWING) AS best,
+      max(start) OVER o AS run, max(CASE WHEN alone THEN k END) OVER o AS last_alone, count(rank) OVER (PARTITION BY w) > 0 AS open
+    FROM (SELECT w, pos, id, round, k, m.rank AS rank, coalesce(m.twice OR a.rank < m.rank OR b.rank < m.rank, false) AS alone, CASE WHEN m.rank IS DISTINCT FROM lag(m.rank) OVER (PARTITION BY w ORDER BY pos) THEN k END AS start
+      FROM (SELECT *, lag(id) OVER o AS last_id, lead(id) OVER o AS next_id, lead(id, 2) OVER o AS third_id, row_number() OVER o AS k FROM {source} WINDOW o AS (PARTITION BY w ORDER BY pos)) s
+      LEFT JOIN merges m ON m.low = s.id AND m.high = s.next_id
+      LEFT JOIN falling a ON a.low = m.rank AND a.high = s.third_id
+      LEFT JOIN falling b ON b.low = s.last_id AND b.high = m.rank)
+    WINDOW o AS (PARTITION BY w ORDER BY pos ROWS UNBOUNDED PRECEDING))
+"""
+_NEAR_CONTRACTED = """(
+  SELECT w, pos, CASE WHEN take THEN rank ELSE id END AS id, round + 1 AS round
+  FROM (SELECT *, lag(take) OVER (PARTITION BY w ORDER BY pos) AS taken FROM step WHERE open AND round < {rounds}) WHERE taken IS NOT TRUE
+)"""
+
+
+def encode_long(reach: int, rounds: int) -> str:
+    """The query for rows of long words, `rounds` rounds on; open: the word has a pair left."""
+    first, next_ = "(SELECT w, pos, id, 0 AS round FROM bytes_of_words)", _NEAR_CONTRACTED.format(rounds=rounds)
+    return f"""
+WITH RECURSIVE step(w, pos, id, round, rank, open, take) AS (
+  {_NEAR_PAIRS.format(source=first, reach=reach)} UNION ALL {_NEAR_PAIRS.format(source=next_, reach=reach)}
+)
+SELECT w, pos, id, open FROM step WHERE NOT open OR round = {rounds} ORDER BY w, pos
+"""
+
+
 DECODE = "SELECT doc, unhex(string_agg(hex, '' ORDER BY pos)) AS decoded FROM tokens JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc"
 
 
@@ -77,10 +119,16 @@ class Tokenizer:
         self.old: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
         pairs = [(low, high, rank) for token, rank in self.ranks.items() for k in range(1, len(token)) if (low := self.ranks.get(token[:k])) is not None and (high := self.ranks.get(token[k:])) is not None]
-        merges = pa.table([pa.array(c, pa.int32()) for c in zip(*pairs, strict=True)], ["low", "high", "rank"])  # noqa: F841
+        twice = {low for low, high, rank in pairs if low == high and rank < low}
+        merges = pa.table([*[pa.array(c, pa.int32()) for c in zip(*pairs, strict=True)], pa.array([rank in twice for _, _, rank in pairs])], ["low", "high", "rank", "twice"])  # noqa: F841
+        down = [p for p in pairs if p[2] < max(p[0], p[1])]
+        falling = pa.table([pa.array([p[k] for p in down], pa.int32()) for k in range(3)], ["low", "high", "rank"])  # noqa: F841
         vocabulary = pa.table([pa.array(self.ranks.values(), pa.int32()), pa.array([t.hex() for t in self.ranks])], ["id", "hex"])  # noqa: F841
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
+        self.db.execute("CREATE TABLE falling AS SELECT * FROM falling")
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary")
+        self.by_length = sorted(self.ranks, key=len, reverse=True)
+        self.reaches: dict[bytes, int] = {}
 
     def _query(self, sql: str, name: str, rows) -> object:
         self.db.register(name, rows)
@@ -89,69 +137,106 @@ class Tokenizer:
         finally:
             self.db.unregister(name)
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes `words` into the cache."""
+    def _rows(self, words: list[bytes]):
+        """w, pos and id of every byte of `words`."""
+        import numpy as np
+
+        sizes = np.array([len(x) for x in words])
+        w = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        pos = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return w, pos, np.array(self.of_byte, np.int32)[np.frombuffer(b"".join(words), np.uint8)]
+
+    def merged(self, words: list[bytes]) -> Iterator[bytes]:
+        """The ids of each of `words`, of at most WHOLE_WORD bytes, as bytes."""
         import numpy as np
         import pyarrow as pa
 
-        rest: list[tuple[str, bytes]] = []
+        for a, b in _runs([len(x) * len(x) // 2 for x in words], ROWS_AT_ONCE):
+            w, pos, ids = self._rows(words[a:b])
+            found = self._query(ENCODE, "bytes_of_words", pa.table({"w": w, "pos": pos.astype(np.int32), "id": ids}))
+            flat, at = found["id"].to_numpy().astype("<u4").tobytes(), 0
+            for stop in np.cumsum(np.bincount(found["w"].to_numpy(), minlength=b - a)).tolist():
+                yield flat[4 * at : 4 * stop]
+                at = stop
+
+    def reach(self, data: bytes) -> int:
+        """The length of the longest token of no bytes but those of `data`."""
+        kinds = bytes(sorted(set(data)))
+        if kinds not in self.reaches:
+            self.reaches[kinds] = next(len(t) for t in self.by_length if not t.translate(None, kinds))
+        return self.reaches[kinds]
+
+    def merged_long(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of `words`, of any length, as bytes; a query takes as many rounds as keep its rows bounded, and what has pairs left goes to the next."""
+        import numpy as np
+        import pyarrow as pa
+
+        out: list[bytes] = [b""] * len(words)
+        of_reach: dict[int, list[int]] = {}
+        for k, x in enumerate(words):
+            of_reach.setdefault(self.reach(x), []).append(k)
+        for reach, numbers in of_reach.items():
+            for a, b in _runs([len(words[k]) for k in numbers], LONG_AT_ONCE):
+                w, pos, ids = self._rows([words[k] for k in numbers[a:b]])
+                while len(w):
+                    rounds = max(1, min(ROUNDS, ROWS_AT_ONCE // len(w)))
+                    found = self._query(encode_long(reach, rounds), "bytes_of_words", pa.table({"w": w, "pos": pos, "id": ids}))
+                    w, pos, ids, open_ = (found[c].to_numpy(zero_copy_only=False) for c in ("w", "pos", "id", "open"))
+                    for k in np.unique(w[~open_]).tolist():
+                        out[numbers[a + k]] = ids[np.searchsorted(w, k) : np.searchsorted(w, k, "right")].astype("<u4").tobytes()
+                    w, pos, ids = w[open_], pos[open_], ids[open_]
+        return out
+
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """Encodes `words` into the cache; long ones are given back instead."""
+        rest, long = [], []
         for word in words:
             data = word.encode()
             if (rank := self.ranks.get(data)) is not None:
                 self.cache[word] = rank.to_bytes(4, "little")
-            elif len(data) > LONGEST_WORD:
-                self.cache[word] = np.array(self._heap_merged(data), "<u4").tobytes()
             else:
-                rest.append((word, data))
-        for k in range(0, len(rest), WORDS_AT_ONCE):
-            part = rest[k : k + WORDS_AT_ONCE]
-            sizes = np.array([len(data) for _, data in part])
-            w = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
-            pos = (np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            ids = np.array(self.of_byte, np.int32)[np.frombuffer(b"".join(data for _, data in part), np.uint8)]
-            found = self._query(ENCODE, "bytes_of_words", pa.table({"w": w, "pos": pos, "id": ids}))
-            flat = found["id"].to_numpy().astype("<u4").tobytes()
-            stops = np.cumsum(np.bincount(found["w"].to_numpy(), minlength=len(part))).tolist()
-            at = 0
-            for (word, _), stop in zip(part, stops, strict=True):
-                self.cache[word] = flat[4 * at : 4 * stop]
-                at = stop
+                (long if len(data) > WHOLE_WORD else rest).append((word, data))
+        for (word, _), ids in zip(rest, self.merged([data for _, data in rest]), strict=True):
+            self.cache[word] = ids
+        return dict(zip([word for word, _ in long], self.merged_long([data for _, data in long]), strict=True))
+
+    def _cut(self, texts: list[str], chars: int) -> Iterator[list[tuple[int, list[str]]]]:
+        """Runs of (text's number, words): all words of texts of `chars` characters together, and a longer text's in several runs."""
+        held, size = [], 0
+        for k, t in enumerate(texts):
+            if held and size + len(t) > chars:
+                yield held
+                held, size = [], 0
+            if len(t) <= chars:
+                held.append((k, self.pattern.findall(t)))
+                size += len(t)
+            else:
+                found = (m[0] for m in self.pattern.finditer(t))
+                while words := list(islice(found, WORDS_AT_ONCE)):
+                    yield [(k, words)]
+        if held:
+            yield held
 
-    def _heap_merged(self, data: bytes) -> list[int]:
-        """The ids of a long word: the leftmost pair of minimum rank first, pairs kept in a heap."""
-        ranks, n = self.ranks, len(data)
-        stop, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-        live = [True] * n
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, end = heapq.heappop(heap)
-            if not live[i] or after[i] >= n or stop[after[i]] != end:
-                continue
-            j = after[i]
-            live[j], stop[i], after[i] = False, end, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] < n and (r := ranks.get(data[a : stop[after[a]]])) is not None:
-                    heapq.heappush(heap, (r, a, stop[after[a]]))
-        return [ranks[data[i : stop[i]]] for i in range(n) if live[i]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], chars: int = CHARS_AT_ONCE) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.pattern.findall(t) for t in texts]
-        new = set().union(*cut) - self.cache.keys()
-        if len(self.cache) + len(new) > self.cache_words:
-            self.cache, self.old = {}, self.cache
-            new = set().union(*cut)
-        met = new & self.old.keys()
-        self.cache.update((w, self.old[w]) for w in met)
-        self.learn(list(new - met))
-        known = self.cache
-        return [b"".join([known[w] for w in words]) for words in cut]
+        out: list[list[bytes]] = [[] for _ in texts]
+        for cut in self._cut(texts, chars):
+            every = set().union(*[words for _, words in cut])
+            new = every - self.cache.keys()
+            if len(self.cache) + len(new) > self.cache_words:
+                self.cache, self.old = {}, self.cache
+                new = every
+            met = new & self.old.keys()
+            self.cache.update((w, self.old[w]) for w in met)
+            if long := self.learn(list(new - met)):
+                known = {w: self.cache[w] if w in self.cache else long[w] for w in every}
+            else:
+                known = self.cache
+            for k, words in cut:
+                out[k].append(b"".join([known[w] for w in words]))
+        return [b"".join(x) for x in out]
 
-    def decode(self, ids: list[bytes]) -> list[bytes]:
-        """The bytes of each document's ids."""
+    def _decoded(self, ids: list[bytes]) -> list[bytes]:
         import numpy as np
         import pyarrow as pa
 
@@ -165,6 +250,16 @@ class Tokenizer:
             out[d] = data
         return out
 
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """The bytes of each document's ids, at most TOKENS_AT_ONCE of which go to a query."""
+        most = 4 * TOKENS_AT_ONCE
+        cut = [(k, x[at : at + most]) for k, x in enumerate(ids) for at in range(0, len(x), most)]
+        out: list[list[bytes]] = [[] for _ in ids]
+        for a, b in _runs([len(x) for _, x in cut], most):
+            for (k, _), data in zip(cut[a:b], self._decoded([x for _, x in cut[a:b]]), strict=True):
+                out[k].append(data)
+        return [b"".join(x) for x in out]
+
 
 _tokenizers: dict[tuple[str, str], Tokenizer] = {}
 
@@ -179,13 +274,14 @@ def tokenizer(path: str | None = None, pattern: str | None = None) -> Tokenizer:
     return _tokenizers[key]
 
 
-def _with_columns(df: DataFrame, source: str, names: tuple[str, ...], convert, sizes, most: int, path: str | None, pattern: str | None) -> DataFrame:
-    """`df` with binary columns `names` (in place of any so named) that `convert` makes of the list of `source` values of rows; at most `most` of `sizes` at a time."""
+def _with_columns(df: DataFrame, source: str, names: tuple[str, ...], convert, most: int, path: str | None, pattern: str | None) -> DataFrame:
+    """`df` with binary columns `names` (in place of any so named) that `convert` makes of the list of `source` values of rows; at most `most` bytes of those at a time."""
     keep = [c for c in df.columns if c not in names]
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), *(f"`{n}` binary" for n in names)])
 
     def converted(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         def done(held):
             part = pa.Table.from_batches(held).combine_chunks()
@@ -194,21 +290,18 @@ def _with_columns(df: DataFrame, source: str, names: tuple[str, ...], convert, s
             yield from out.to_batches(max_chunksize=ROWS_OUT)
 
         held, size = [], 0
-        for whole in batches:
-            for a, b in _runs([0 if x is None else sizes(x) for x in whole.column(source).to_pylist()], most):
-                part = whole.slice(a, b - a)
-                n = sum(sizes(x) for x in part.column(source).to_pylist() if x is not None)
-                if held and size + n > most:
-                    yield from done(held)
-                    held, size = [], 0
-                held.append(part)
-                size += n
+        for part in pieces(batches, source, 1 << 30, most):
+            n = pc.sum(pc.binary_length(part.column(source))).as_py() or 0
+            if held and size + n > most:
+                yield from done(held)
+                held, size = [], 0
+            held.append(part)
+            size += n
         if held:
             yield from done(held)
         tokenizer(path, pattern).old.clear()
         give_back_memory()
 
-    bound_batches(df.sparkSession)
     return df.mapInArrow(converted, schema)
 
 
@@ -218,14 +311,14 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     def convert(texts):
         t = tokenizer(path, pattern)
         t.cache_words = cache_words
-        return (t.encode([x or "" for x in texts]),)
+        return (t.encode([x or "" for x in texts], chars_at_once),)
 
-    return _with_columns(docs, "text", ("token_ids",), convert, len, chars_at_once, path, pattern)
+    return _with_columns(docs, "text", ("token_ids",), convert, chars_at_once, path, pattern)
 
 
 def decode(tokens: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """`tokens` (with token_ids) and `decoded`: the bytes that they stand for."""
-    return _with_columns(tokens, "token_ids", ("decoded",), lambda ids: (tokenizer(path, pattern).decode([x or b"" for x in ids]),), lambda x: len(x) // 4, TOKENS_AT_ONCE, path, pattern)
+    return _with_columns(tokens, "token_ids", ("decoded",), lambda ids: (tokenizer(path, pattern).decode([x or b"" for x in ids]),), 4 * TOKENS_AT_ONCE, path, pattern)
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -234,9 +327,9 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
     def convert(texts):
         t = tokenizer(path, pattern)
         ids = t.encode([x or "" for x in texts])
-        return ids, [x for a, b in _runs([len(x) // 4 for x in ids], TOKENS_AT_ONCE) for x in t.decode(ids[a:b])]
+        return ids, t.decode(ids)
 
-    return _with_columns(docs, "text", ("token_ids", "decoded"), convert, len, CHARS_AT_ONCE, path, pattern)
+    return _with_columns(docs, "text", ("token_ids", "decoded"), convert, CHARS_AT_ONCE, path, pattern)
 
 
 def ids_as_arrays(tokens: DataFrame) -> DataFrame:

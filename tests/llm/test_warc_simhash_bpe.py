@@ -189,6 +189,28 @@ def test_long_words(word, tiktoken_library):
     assert np.frombuffer(ids, "<u4").tolist() == tiktoken_library.encode_ordinary(word) and B.tokenizer().decode([ids]) == [word.encode()]
 
 
+def test_long_words_of_few_letters(tiktoken_library):
+    """Words of over WHOLE_WORD bytes, whose rounds contract many pairs: runs of one pair, and pairs whose token falls in rank."""
+    import random
+
+    r, t = random.Random(2), B.tokenizer()
+    kinds = ["ab", "aA", "abc", "etaoinshr", "lo", "=-", "xyzé", "  \t", "aaab", "漢字", "abcdefghijklmnopqrstuvwxyz"]
+    words = ["".join(r.choice(r.choice(kinds) if k % 3 else kinds[k % len(kinds)]) for _ in range(r.randrange(70, 400))) for k in range(300)]
+    words = [w for w in words if len(w.encode()) > B.WHOLE_WORD]
+    for word, ids in zip(words, t.merged_long([w.encode() for w in words]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tiktoken_library._encode_single_piece(word.encode())
+
+
+def test_long_documents(tiktoken_library):
+    import random
+
+    r, t = random.Random(3), B.tokenizer()
+    words = [prose(1, k, 50_000) + "".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 9))) for k in range(5000)]
+    for text in (" ".join(r.choices(words, k=700_000)), " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(500)) for _ in range(300))):
+        ids = t.encode([text])[0]
+        assert np.array_equal(np.frombuffer(ids, "<u4"), np.array(tiktoken_library.encode_ordinary(text))) and t.decode([ids, b"", ids[:4]])[0] == text.encode()
+
+
 def test_a_full_cache_changes_nothing(tiktoken_library):
     t = B.tokenizer()
     before, t.cache_words = t.cache_words, 50
@@ -207,7 +229,9 @@ def test_columns_pass_and_empty_tables(odd_docs, no_docs):
 
 
 def test_query_digests(spark, sf_dir, tiktoken_library):
-    docs = {r["doc_id"]: r["text"] for r in B.table(spark, sf_dir, "documents").limit(60).collect()}
-    for r in B.op6_byte_bpe(spark, sf_dir).where(F.col("doc_id").isin(list(docs))).collect():
-        ids = np.array(tiktoken_library.encode_ordinary(docs[r["doc_id"]]), "<u4")
-        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(docs[r["doc_id"]].encode()).hexdigest())
+    docs = {r["doc_id"]: r["text"] for r in B.table(spark, sf_dir, "documents").select("doc_id", "text").collect()}
+    rows = B.op6_byte_bpe(spark, sf_dir).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = np.array(tiktoken_library.encode_ordinary(docs[r["doc_id"]] or ""), "<u4")
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((docs[r["doc_id"]] or "").encode()).hexdigest())
