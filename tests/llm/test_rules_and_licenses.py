@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from crossgrain.llm import license_scan as L
 from crossgrain.llm import quality_rules as Q
 from tests.conftest import canonical, duck, same_as_oracle
+from tests.llm.conftest import prose
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
@@ -54,18 +55,21 @@ def test_oracle(spark, sf_dir, op, name):
     assert same_as_oracle(op.QUERIES[name](spark, sf_dir), op.ORACLE_SQL[name], duck(sf_dir))
 
 
-def licenses(text):
+def licenses(text, templates=L.TEMPLATES, threshold=0.8, least_window=L.LEAST_WINDOW):
+    """All windows and templates, word by word."""
     text = "".join(c.lower() if c.isascii() else c for c in text or "")
-    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-    w = word.findall(text)
+    w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text)
     at = [(i, label) for p, label in L.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    parsed = L.parse_templates(templates, threshold, least_window)
     found, best = set(), 0.0
-    for line in text.split("\n"):
-        b = set(word.findall(line))
-        met = [(len(t & b) / len(t), len(t), label) for label, t in ((label, set(t.split())) for label, t in L.TEMPLATES)]
-        met = [m for m in met if m[0] >= 0.8]
-        found |= {m[2] for m in met if m[:2] == max(met)[:2]}
-        best = max([best, *(m[0] for m in met)])
+    for size in {t.window for t in parsed}:
+        for i in range(max(1, -(-len(w) // size) - 1)):
+            b = set(w[i * size : (i + 2) * size])
+            met = {k: t for k, t in enumerate(parsed) if t.window == size and len(t.words & b) >= threshold * len(t.words) - 1e-9 and t.marks <= b}
+            for t in met.values():
+                if not any(t.words < o.words and o.label != t.label for o in met.values()):
+                    found.add(t.label)
+                    best = max(best, len(t.words & b) / len(t.words))
     base = {label for _, label in at}
     starts = [i for i, _ in at]
     return len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | found)), 1.0 if at else best
@@ -77,9 +81,38 @@ def test_licenses_of_odd_documents(spark, odd_docs, odd_rows):
     assert canonical(tuple(r) for r in L.scan_licenses(docs).collect()) == canonical((d, *licenses(t)) for d, t in [*odd_rows, *more])
 
 
-def test_template_bound():
+#: Openings as they stand at the head of files: wrapped, with comment marks.
+WRAPPED = {
+    "mit": "# Permission is hereby granted, free of charge, to any person obtaining a\n# copy of this software and associated documentation files (the \"Software\"),\n# to deal in the Software without restriction",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n *\n * 1. Redistributions",
+    "mpl": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one",
+    "isc": "// Permission to use, copy, modify, and/or distribute this software for any\n// purpose with or without fee is hereby granted, provided",
+    "gpl": "dnl This program is free software: you can redistribute it and/or modify\ndnl it under the terms of the GNU General Public License as published by\ndnl the Free Software Foundation",
+    "lgpl": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General\nPublic License as published",
+    "agpl": "This program is free software: you can redistribute it and/or modify it\nunder the terms of the GNU Affero General Public License as",
+    "apache": "you may not use this file except in compliance with the\nLicense. You may obtain a copy of the License at",
+    "cc-by": "Licensed under CC BY 4.0", "cc-by-nc": "Licensed under CC BY-NC 4.0", "cc-by-sa": "Licensed\nunder CC BY-SA 4.0",
+}
+
+
+def test_wrapped_notices_and_two_in_one_text(spark):
+    rows = [(k, f"intro words\n\n{t} more words {prose(200, k)}") for k, t in enumerate(WRAPPED.values())]
+    both = "\n".join((WRAPPED["mit"], prose(10, 3), WRAPPED["bsd"].replace("source", "sauce")))
+    rows += [(90, both.replace("\n", " ")), (91, f"{WRAPPED['cc-by']} {prose(40, 1)} {WRAPPED['cc-by-nc']}"), (92, prose(500, 9))]
+    got = {r["doc_id"]: r for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    labels = {label: set(got[k]["labels"].split(",")) for k, label in enumerate(WRAPPED)}
+    assert {k: v - {"gpl"} if k in ("agpl", "lgpl") else v for k, v in labels.items()} == {k: {k} for k in WRAPPED}
+    assert got[90]["labels"] == "bsd,mit" and got[91]["labels"] == "cc-by,cc-by-nc" and (got[92]["labels"], got[92]["score"]) == ("", 0.0)
+    for d, text in rows:
+        assert canonical([tuple(got[d])]) == canonical([(d, *licenses(text))])
+
+
+def test_template_bound_and_many_words(spark):
     with pytest.raises(ValueError):
         L.parse_templates((("x", " ".join(f"w{i}" for i in range(L.MAX_TEMPLATE_WORDS + 1))),))
+    many = tuple((f"t{k}", " ".join(f"v{k}x{i}" for i in range(40))) for k in range(100))
+    docs = spark.createDataFrame([(1, f"{prose(100, 1)} {many[7][1]} {prose(100, 2)}"), (2, prose(50, 3))], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in L.scan_licenses(docs, many).collect()} == {1: "t7", 2: ""}
 
 
 def test_prefix_and_position_filters_lose_nothing(spark):
@@ -88,13 +121,5 @@ def test_prefix_and_position_filters_lose_nothing(spark):
     r = random.Random(4)
     templates = tuple(("t%d" % k, " ".join(r.sample([f"v{i}" for i in range(30)], r.randint(1, 12)))) for k in range(12))
     rows = [(i, "\n".join(" ".join(r.choices([f"v{k}" for k in range(30)] + ["zz"], k=r.randint(0, 25))) for _ in range(3))) for i in range(60)]
-    got = {(x["doc_id"], x["labels"]) for x in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates, 0.7, L.PHRASES).collect()}
-    want = set()
-    for i, text in rows:
-        labels = set()
-        for line in text.split("\n"):
-            met = [(len(t & set(line.split())) / len(t), len(t), label) for label, t in ((label, set(t.split())) for label, t in templates)]
-            met = [m for m in met if m[0] >= 0.7 - 1e-9]
-            labels |= {m[2] for m in met if m[:2] == max(met)[:2]}
-        want.add((i, ",".join(sorted(labels))))
-    assert got == want
+    got = {(x["doc_id"], x["labels"], x["score"]) for x in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates, 0.7, L.PHRASES, 4).collect()}
+    assert got == {(i, *licenses(text, templates, 0.7, 4)[5:]) for i, text in rows}
