@@ -157,6 +157,8 @@ CHAT = [
     (1, 0, "user", "Hello  there\n\nHow are you?\n  code"), (1, 1, "assistant", "On Monday, X wrote:\n> how ARE you?\nFine"), (1, 2, "user", "> > How are you?\n> Fine\nGood"), (1, 3, None, ">> Fine\nno link\n\n\n\nend"),
     (1, 4, "user", None), (1, 5, "user", ""), (2, 0, "user", "> nothing\n"), (2, 0, "user", "again"), (None, 1, "x", "> Fine"), (3, None, "u", "> a"), (3, 1, "u", "a"), (3, 2, "u", "> a\nb"), (3, 3, "u", ">b\nc"), (3, 4, "u", "> c\nd"), (3, 5, "u", "x\n> d"),
     *[(4, k, "user", "same line" if k % 2 else f"> same line\nreply {k}") for k in range(40)], *[(5, k, "user", f"> m{k - 1}\nm{k}") for k in range(30)], (6, 0, "u", "long " * 50_000),
+    (7, 0, "a", "one\ntwo\nthree\n\nfour five\nsix\n\nseven"), (7, 1, "b", "> two\n> Three\nabout two lines"), (7, 2, "c", "> four\n> five six\n>\n> seven\nnew wrap"), (7, 3, "d", "On Monday, c wrote:\n\n> On Sunday, a wrote:\n> > one\n> > two\n> new wrap\nnested"),
+    (7, 4, "e", "> three\n>\n> unknown\n> six\nparts"), (7, 5, "f", "> nested\n>> new wrap\n> parts\nsplit by a deeper one"), (7, 6, "g", "On x wrote:\nno quote"), (7, 7, "h", "> On z wrote:\n>> about two lines\nchain"),
 ]
 
 
@@ -170,6 +172,15 @@ def test_quotes_equal_sql(spark):
     got = Q.format_conversations(df)
     assert same_as_oracle(got, Q.ORACLE_SQL["op9_chat_quotes"], c)
     assert {r["thread_turn"] for r in got.where("conv_id = 5").collect()} == {0}
+    assert {r["turn"]: r["reply_to"] for r in got.where("conv_id = 7").collect()} == {0: None, 1: 0, 2: 0, 3: 2, 4: 0, 5: 3, 6: None, 7: 1}
+
+
+def test_positions_span_ranges(spark):
+    """A conversation that is dealt over several ranges: every position once, replies after what they reply to."""
+    rows = [(1, k, "u", f"> line {k // 3}\nline {k}" if k % 3 == 0 and k else f"line {k}") for k in range(400)] + [(2, 0, "u", "x")]
+    got = Q.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).where("conv_id = 1").collect()
+    at = {r["turn"]: r["position"] for r in got}
+    assert sorted(at.values()) == list(range(1, 401)) and all(at[r["reply_to"]] < r["position"] for r in got if r["reply_to"] is not None)
 
 
 def test_chat_oracle_and_empty(spark, sf_dir):
