@@ -2,9 +2,11 @@
 
 Each rule is a boolean column that is true where it rejects a document. Rules run one after the other
 inside one CASE expression, so that a document that an early rule rejects never pays for a later one.
-Their order comes from a bounded sample: each rule is timed on it, a bit pattern for each document
-gives what rules reject together, and the next rule is always the one that rejects most of what is
-still left per second. The sample decides the order only; verdicts are the same in any order.
+Their order comes from a random sample, of rows of a few random files, and one job over it: each rule has a cost
+expression, nanoseconds by what it has to read of a document beyond the metrics, whose mean over the sample is
+the rule's cost; a bit pattern for each document gives what rules reject together; and the next rule is always the
+one that rejects most of what is still left per cost. Costs are counted, not timed, so the same table gives the
+same order every time. The sample decides the order only; verdicts are the same in any order.
 
 Only DataFrame functions: one map over the documents, no shuffle, no Python.
 
@@ -15,18 +17,19 @@ input are ignored, whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import time
+import random
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossgrain.llm import text as T
 from crossgrain.sources.tables import table
 
-#: Rows that rule costs and selectivities are estimated on, and the most bytes of a text among them.
-SAMPLE_ROWS, SAMPLE_BYTES = 500, 100_000
+#: Rows, about, that rule costs and selectivities are estimated on, and the files that they are drawn from.
+SAMPLE_ROWS, SAMPLE_FILES, SAMPLE_SEED = 500, 8, 7
+#: Nanoseconds, about: to compare metrics, and to translate and measure a character.
+COMPARE_NS, CHARACTER_NS = 10, 12
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
@@ -35,10 +38,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 @dataclass(frozen=True)
 class Rule:
-    """`rejects` is an SQL condition over the columns of `with_metrics`; null counts as false."""
+    """`rejects` and `cost` are SQL over the columns of `with_metrics`: a condition, null counts as false, and nanoseconds."""
 
     name: str
     rejects: str
+    cost: str = f"{COMPARE_NS}"
+
+
+#: What a rule costs that passes over the characters of the text.
+PASS = f"{COMPARE_NS} + {CHARACTER_NS} * char_length(doc_text)"
 
 
 #: What a base failure is: these two are in the cascade as well.
@@ -53,9 +61,9 @@ RULES = (
     Rule("duplicate_lines", "2 * n_dup_lines > n_lines"),
     Rule("short_words", "word_chars < 2 * n_words"),
     Rule("long_words", "word_chars > 15 * n_words"),
-    Rule("capitals", f"2 * (char_length(doc_text) - char_length(translate(doc_text, '{UPPER}', ''))) > word_chars"),
-    Rule("digits", "3 * (char_length(doc_text) - char_length(translate(doc_text, '0123456789', ''))) > word_chars"),
-    Rule("replacement_characters", "100 * (char_length(doc_text) - char_length(translate(doc_text, '�', ''))) > word_chars"),
+    Rule("capitals", f"2 * (char_length(doc_text) - char_length(translate(doc_text, '{UPPER}', ''))) > word_chars", PASS),
+    Rule("digits", "3 * (char_length(doc_text) - char_length(translate(doc_text, '0123456789', ''))) > word_chars", PASS),
+    Rule("replacement_characters", "100 * (char_length(doc_text) - char_length(translate(doc_text, '�', ''))) > word_chars", PASS),
 )
 
 
@@ -97,38 +105,38 @@ def rejects(rule: Rule) -> Column:
 @dataclass(frozen=True)
 class Estimate:
     rule: Rule
-    seconds: float
+    cost: float
     share: float
 
 
+def sample_documents(docs: DataFrame, rows: int = SAMPLE_ROWS, files: int = SAMPLE_FILES, seed: int = SAMPLE_SEED) -> DataFrame:
+    """About `rows` random rows of `docs`, from `files` of its files, all by `seed`; other files are not read."""
+    every = sorted({f.rsplit("/", 1)[-1] for f in docs.inputFiles()})
+    if len(every) > files and "_metadata" not in docs.columns:
+        docs = docs.where(F.col("_metadata.file_name").isin(random.Random(seed).sample(every, files)))
+    return docs.select("doc_id", "text").where(F.rand(seed) < rows / max(docs.count(), 1))
+
+
 def cascade_order(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> list[Estimate]:
-    """`rules` in the order to run them: always the one with most rejections per second among the sample's documents that are left.
+    """`rules` in the order to run them: always the one with most rejections per cost among the sample's documents that are left.
 
-    The sample is the first rows of `docs` (text) with texts of at most SAMPLE_BYTES: Spark takes them from as few
-    partitions as they need, and the driver has no more than their product. A limit within a plan would run all partitions.
+    One job; the driver gets a row for each pattern of rejections that the sample has.
     """
-    spark = docs.sparkSession
-    short = F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_BYTES
-    taken = [(None, r["text"]) for r in docs.select("text").where(short).limit(sample_rows).collect()]
-    sample = with_metrics(spark.createDataFrame(taken, "doc_id long, text string")).persist(StorageLevel.MEMORY_ONLY)
-    try:
-        total = sample.count()
-        seconds = {}
-        for r in rules:
-            began = time.perf_counter()
-            sample.select(F.count_if(rejects(r)).alias("n")).collect()
-            seconds[r.name] = max(time.perf_counter() - began, 1e-6)
-        pattern = [rejects(r).cast("int").alias(f"r{k}") for k, r in enumerate(rules)]
-        left = [(tuple(row)[:-1], row["n"]) for row in sample.select(*pattern).groupBy(*[f"r{k}" for k in range(len(rules))]).agg(F.count("*").alias("n")).collect()]
-    finally:
-        sample.unpersist()
+    sample = with_metrics(sample_documents(docs, sample_rows))
+    bits = [rejects(r).cast("int").alias(f"r{k}") for k, r in enumerate(rules)]
+    costs = [F.expr(r.cost).cast("double").alias(f"c{k}") for k, r in enumerate(rules)]
+    sums = [F.sum(f"c{k}").alias(f"c{k}") for k in range(len(rules))]
+    rows = sample.select(*bits, *costs).groupBy(*[f"r{k}" for k in range(len(rules))]).agg(F.count("*").alias("n"), *sums).collect()
+    total = sum(r["n"] for r in rows)
+    cost = [sum(r[f"c{k}"] for r in rows) / total if total else 1.0 for k in range(len(rules))]
+    left = [(tuple(r)[: len(rules)], r["n"]) for r in rows]
     order: list[Estimate] = []
     rest = list(range(len(rules)))
     while rest:
-        gain = {k: sum(n for bits, n in left if bits[k]) for k in rest}
-        best = max(rest, key=lambda k: (gain[k] / seconds[rules[k].name], -k))
-        order.append(Estimate(rules[best], seconds[rules[best].name], gain[best] / total if total else 0.0))
-        left = [(bits, n) for bits, n in left if not bits[best]]
+        gain = {k: sum(n for bits_, n in left if bits_[k]) for k in rest}
+        best = max(rest, key=lambda k: (gain[k] / cost[k], -cost[k], -k))
+        order.append(Estimate(rules[best], cost[best], gain[best] / total if total else 0.0))
+        left = [(bits_, n) for bits_, n in left if not bits_[best]]
         rest.remove(best)
     return order
 

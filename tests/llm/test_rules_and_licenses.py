@@ -41,7 +41,22 @@ def test_order_changes_no_verdict(spark, sf_dir):
     kept = lambda o: sorted(r[0] for r in m.where(Q.rejected_by(o).isNull()).select("doc_id").collect())
     assert kept(order) == kept(order[::-1])
     first = order[0]
-    assert all(first.share / first.seconds >= e.share / e.seconds - 1e-9 for e in order)
+    assert all(first.share / first.cost >= e.share / e.cost - 1e-9 for e in order)
+    assert [[e.rule.name for e in Q.cascade_order(docs, Q.RULES, 300)] for _ in range(2)] == [[e.rule.name for e in order]] * 2
+
+
+def test_cheap_rules_that_reject_go_first(spark):
+    texts = ["few words"] * 5 + ["A" * 3000 + " word" * 60] * 3 + [prose(100, k) for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    order = [e.rule.name for e in Q.cascade_order(docs, Q.RULES, 10_000)]
+    assert order[0] == "few_words" and order.index("repeated_words") < order.index("capitals") and order[-1] in ("capitals", "digits", "replacement_characters")
+
+
+def test_the_sample_reads_few_files(spark, tmp_path):
+    spark.range(4000).selectExpr("id doc_id", "concat('text ', id) text").repartition(20).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    one, two = ([r["doc_id"] for r in Q.sample_documents(docs, 400, 4).collect()] for _ in range(2))
+    assert sorted(one) == sorted(two) and 250 < len(one) < 600 and Q.sample_documents(docs, 400, 4).select(F.input_file_name()).distinct().count() == 4
 
 
 @pytest.mark.parametrize("op", [Q, L])
