@@ -7,9 +7,11 @@ distinct ones are leaves of a binary trie over their bits, and pairs within the
 by walking the trie against itself: a pair of nodes carries the bits in which its two paths differ, its
 pairs of children are visited in turn, and a pair goes as soon as the differing bits exceed the budget.
 
-Spark: the upper trie is cut into a frontier of nodes with few enough leaves, from counts of 16-bit
-prefixes (at most 65,536 rows to the driver). Each pair of frontier nodes whose paths are within the
-budget is one task, which walks its part with arrays, level by level and in blocks of bounded size. A
+Spark: the upper trie is cut into a frontier of nodes of at most `MOST_LEAVES` leaves: from counts of 16-bit
+prefixes (at most 65,536 rows to the driver) and, below prefixes that have more, of four bits more at a time, until
+none has. Each pair of frontier nodes whose paths are within the
+budget is one task, which walks its part with arrays, level by level and in blocks of bounded size; which pairs
+those are is worked out in tasks, too. A
 task returns no pairs but a spanning star for each set of its linked leaves, fewer rows than leaves.
 Components are joined from the stars by `components.connected`.
 
@@ -47,10 +49,12 @@ SEED = 42
 JACCARD_WORDS = 5
 #: Bits of the sketch that bounds from below how many shingles differ.
 SKETCH_BITS = 512
-#: Bits of a prefix that leaves are counted by.
-COUNT_BITS = 16
-#: Leaves of a frontier node: a part of all, between these; beyond 33 million leaves, 1/256 of them.
-LEAST_LEAVES, MOST_LEAVES, LEAST_NODES, MOST_NODES = 64, 131_072, 12, 256
+#: Bits of a prefix that leaves are counted by, and those that are added where it has too many.
+COUNT_BITS, MORE_BITS = 16, 4
+#: Leaves of a frontier node: a twelfth of all, between these.
+LEAST_LEAVES, MOST_LEAVES, LEAST_NODES = 64, 32_768, 12
+#: Node pairs whose table is broadcast; more are joined with a shuffle.
+MOST_BROADCAST = 2_000_000
 #: Node pairs, or pairs of leaves, that a task has as arrays at a time.
 BLOCK = 1 << 18
 
@@ -205,56 +209,85 @@ def local_stars(left: np.ndarray, right: np.ndarray | None, budget: int) -> tupl
     return every[linked], every[labels[linked]]
 
 
-def frontier(counts: dict[int, int], most: int) -> list[tuple[int, int]]:
-    """(path, depth) of the trie nodes that cover all prefixes and have at most `most` leaves, or COUNT_BITS of depth."""
-    sums: list[dict[int, int]] = [{} for _ in range(COUNT_BITS + 1)]
-    sums[COUNT_BITS] = dict(counts)
-    for d in range(COUNT_BITS - 1, -1, -1):
+def split(counts: dict[int, int], top: int, bottom: int, most: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """Of leaves `counts` by the prefix of `bottom` bits: (path, depth) of the highest nodes below `top` bits that have at most `most` leaves, and the prefixes that have more."""
+    sums: list[dict[int, int]] = [{} for _ in range(bottom - top + 1)]
+    sums[-1] = dict(counts)
+    for d in range(bottom - top - 1, -1, -1):
         for p, n in sums[d + 1].items():
             sums[d][p >> 1] = sums[d].get(p >> 1, 0) + n
-    found, work = [], [(0, 0)]
+    found, over, work = [], [], [(p, 0) for p in sums[0]]
     while work:
         path, d = work.pop()
         if path not in sums[d]:
             continue
-        if sums[d][path] <= most or d == COUNT_BITS:
-            found.append((path, d))
+        if sums[d][path] <= most:
+            found.append((path, top + d))
+        elif d == bottom - top:
+            over.append(path)
         else:
             work += [(2 * path + 1, d + 1), (2 * path, d + 1)]
-    return found
+    return found, over
 
 
-def task_routes(nodes: list[tuple[int, int]], budget: int) -> list[tuple[int, int, int]]:
-    """(node, task, side) for the tasks of each frontier node: one for each pair of nodes whose paths are within the budget."""
-    rows, task = [], 0
-    for i, (p, d) in enumerate(nodes):
-        for j in range(i, len(nodes)):
-            q, e = nodes[j]
-            common = min(d, e)
-            if ((p >> (d - common)) ^ (q >> (e - common))).bit_count() <= budget:
-                rows.append((i, task, 0))
-                if i != j:
-                    rows.append((j, task, 1))
-                task += 1
-    return rows
+def frontier(leaves: DataFrame) -> list[tuple[int, int]]:
+    """(path, depth), in order, of trie nodes that cover all of `leaves` (fp) and have at most MOST_LEAVES, or a single fingerprint."""
+    prefix = lambda d: F.shiftrightunsigned("fp", 64 - d)
+
+    def counted(df: DataFrame, d: int) -> dict[int, int]:
+        return {r["p"] & (1 << 64) - 1: r["n"] for r in df.groupBy(prefix(d).alias("p")).agg(F.count("*").alias("n")).collect()}
+
+    depth, counts = COUNT_BITS, counted(leaves, COUNT_BITS)
+    most = max(min(sum(counts.values()) // LEAST_NODES, MOST_LEAVES), LEAST_LEAVES)
+    nodes, over = split(counts, 0, depth, most)
+    while over and depth < 64:
+        top, depth = depth, depth + MORE_BITS
+        hot = leaves.sparkSession.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in over], "p long")
+        some = leaves.select("fp").join(F.broadcast(hot), prefix(top) == F.col("p"), "left_semi")  # fewer prefixes than leaves / MOST_LEAVES
+        more, over = split(counted(some, depth), top, depth, most)
+        nodes += more
+    return sorted([*nodes, *((p, depth) for p in over)], key=lambda n: n[0] << (64 - n[1]))
+
+
+def partners(paths: np.ndarray, depths: np.ndarray, i: int, budget: int) -> np.ndarray:
+    """The nodes from `i` on whose paths are within the budget of its own, over the bits that both have; `paths` start at the highest bit."""
+    common = np.minimum(depths[i:], depths[i]).astype(np.uint64)
+    off = np.where(common == 0, np.uint64(0), (paths[i:] ^ paths[i]) >> ((np.uint64(64) - common) & np.uint64(63)))
+    return i + np.flatnonzero(np.bitwise_count(off) <= budget)
 
 
 def _dealt(leaves: DataFrame, budget: int) -> DataFrame:
-    """`leaves` (fp and others) with task and side, a row for each task of its frontier node."""
+    """`leaves` (fp and others) with task and side, a row for each task of its frontier node: one for each pair of nodes whose paths are within the budget."""
     spark = leaves.sparkSession
-    prefix = F.shiftrightunsigned("fp", 64 - COUNT_BITS).cast("int")
-    counts = {r["p"]: r["n"] for r in leaves.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
-    nodes = frontier(counts, max(min(max(total // LEAST_NODES, LEAST_LEAVES), MOST_LEAVES), total // MOST_NODES))
-    routes = task_routes(nodes, budget)
-    of_prefix = [(p, i) for i, (path, d) in enumerate(nodes) for p in counts if p >> (COUNT_BITS - d) == path]
-    # both are bounded: 65,536 prefixes, and the pairs of a few hundred frontier nodes
-    return (
-        leaves.withColumn("p", prefix)
-        .join(F.broadcast(spark.createDataFrame(of_prefix, "p int, trie_node int")), "p")
-        .join(F.broadcast(spark.createDataFrame(routes, "trie_node int, task int, side int")), "trie_node")
-        .select(*leaves.columns, "task", F.col("side").cast("byte").alias("side"))
-    )
+    nodes = frontier(leaves)
+    paths, depths = np.array([p << (64 - d) for p, d in nodes], np.uint64), np.array([d for _, d in nodes], np.int64)
+    held = spark.sparkContext.broadcast((paths, depths))  # fewer nodes than leaves / MOST_LEAVES, twice at most, or 65,536
+
+    def routed(batches):
+        import pyarrow as pa
+
+        paths, depths = held.value
+        for b in batches:
+            for i in b.column("id").to_pylist():
+                j = partners(paths, depths, i, budget)
+                task = (np.int64(i) << np.int64(32)) + j
+                other = j != i
+                columns = np.concatenate((np.full(len(j), i), j[other])), np.concatenate((task, task[other])), np.concatenate((np.zeros(len(j), np.int8), np.ones(other.sum(), np.int8)))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["trie_node", "task", "side"])
+
+    def numbered(batches):
+        import pyarrow as pa
+
+        paths, _ = held.value
+        for b in batches:
+            at = np.searchsorted(paths, b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), side="right") - 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int64))], [*b.schema.names, "trie_node"])
+
+    kinds = ", ".join(f"`{c}` {leaves.schema[c].dataType.simpleString()}" for c in leaves.columns)
+    routes = materialize(spark.range(len(nodes)).mapInArrow(routed, "trie_node long, task long, side byte"), "simhash-routes")
+    if routes.count() <= MOST_BROADCAST:
+        routes = F.broadcast(routes)
+    return leaves.mapInArrow(numbered, f"{kinds}, trie_node long").join(routes, "trie_node").select(*leaves.columns, "task", "side")
 
 
 def near_links(leaves: DataFrame, budget: int = MAX_BITS) -> DataFrame:
@@ -358,7 +391,7 @@ def group_links(groups: DataFrame, width: int, budget: int, of_texts: bool = Fal
 def near_duplicates(docs: DataFrame, budget: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, word_set_seeds: tuple[int, ...] = ()) -> DataFrame:
     """doc_id, fps and component_id of each row of `docs` (doc_id, text)."""
     width = len(word_set_seeds) or 1
-    node = F.col("fps")[0] if width == 1 else F.xxhash64("fps")
+    node = F.col("fps")[0] if width == 1 else F.md5(F.concat_ws(",", F.col("fps").cast("array<string>")))
     rows = materialize(fingerprints(docs, shingle_words, word_set_seeds).withColumn("node", node), "simhash-fingerprints")
     groups = materialize(rows.groupBy("node", "fps").agg(F.min("doc_id").alias("first_doc")), "simhash-groups")
     if groups.isEmpty():

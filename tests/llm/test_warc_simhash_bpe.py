@@ -111,20 +111,35 @@ def test_trie_pairs_equal_all_pairs():
         assert got == {(i, j) for i, j in zip(*np.nonzero(d <= 4), strict=True) if right is not None or i < j}
 
 
-def test_frontier_tasks_lose_no_pair():
+def test_frontier_tasks_lose_no_pair(spark, monkeypatch):
+    """Leaves of which half share a prefix of 30 bits: nodes are bounded, and every near pair meets in one task."""
     rng = np.random.default_rng(2)
-    x = rng.integers(0, 2**16, 3000)
-    counts = dict(zip(*map(list, np.unique(x, return_counts=True)), strict=True))
-    nodes = S.frontier(counts, 100)
-    of = {p: i for i, (path, d) in enumerate(nodes) for p in counts if p >> (16 - d) == path}
-    assert set(of) == set(counts)
-    routes = {}
-    for node, task, side in S.task_routes(nodes, 4):
-        routes.setdefault(task, set()).add(node)
-    met = {frozenset(v) for v in routes.values()}
-    for a, b in rng.choice(list(counts), (2000, 2)):
-        if int(a ^ b).bit_count() <= 4:
-            assert frozenset((of[a], of[b])) in met
+    x = rng.integers(0, 2**64, 600, dtype=np.uint64)
+    hot = (x[:500] >> np.uint64(30)) | (np.uint64(0xABCDEF12) << np.uint64(34))
+    x = np.unique(np.concatenate((x, hot, hot[:100] ^ np.uint64(5), x[:100] ^ np.uint64(1 << 60))))
+    monkeypatch.setattr(S, "MOST_LEAVES", 64)
+    leaves = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    rows = S._dealt(leaves, 4).collect()
+    nodes = S.frontier(leaves)
+    held = np.bincount([next(k for k, (p, d) in enumerate(nodes) if int(v) >> (64 - d) == p) for v in x])
+    assert max(held) <= 64 and max(d for _, d in nodes) > 30
+    sides = {}
+    for r in rows:
+        sides.setdefault(r["task"], ([], []))[r["side"]].append(r["fp"] & (1 << 64) - 1)
+    met = {}
+    for left, right in sides.values():
+        assert len(left) <= 64 and len(right) <= 64
+        for i, a in enumerate(left):
+            for b in right or left[i + 1 :]:
+                met[frozenset((a, b))] = met.get(frozenset((a, b)), 0) + 1
+    near = [frozenset((int(a), int(b))) for i, a in enumerate(x) for b in x[i + 1 :][np.bitwise_count(x[i + 1 :] ^ a) <= 4]]
+    assert len(near) > 150 and all(met.get(p) == 1 for p in near)
+    links = S.near_links(leaves).collect()
+    label = {int(v): int(v) for v in x}
+    root = lambda v: v if label[v] == v else root(label[v])
+    for r in links:
+        label[root(r["a"] & (1 << 64) - 1)] = root(r["b"] & (1 << 64) - 1)
+    assert all(len({root(v) for v in p}) == 1 for p in near)
 
 
 def test_chain_of_links_is_one_component(spark):
