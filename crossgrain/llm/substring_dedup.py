@@ -5,8 +5,8 @@ words also stand in a document of a smaller doc_id. Windows are found by what th
 stand: of the hashes of a window's 16-word phrases, the smallest is its anchor, so equal windows have equal
 anchors wherever they are, and neighbouring windows mostly share theirs.
 
-1. Anchors of every document are grouped; those that more than one document has go into a bitmap of fixed
-   size. A false hit there costs work, never a wrong result.
+1. Anchors of every document are grouped; those that more than one document has go into a bitmap sized by
+   their number, 128 MB at most. A false hit there costs work, never a wrong result.
 2. Documents with such an anchor go on with their texts, to a table in the shared folder; the others are
    done. Where they have such an anchor, the hashes of their windows are grouped, which confirms what
    recurs and names its owner, the smallest doc_id that has it.
@@ -43,7 +43,8 @@ from crossgrain.sources.tables import table
 WINDOW = 50
 #: Words of a phrase that may be an anchor.
 PHRASE = 16
-BITMAP_BITS = 1 << 27
+#: Bits of the bitmap for each anchor that it has, and its least and most bits; beyond those, more documents take the longer way.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
 #: Characters of text in a shard.
 SHARD_CHARS = 4_000_000
 #: Rows of a table with no more rows than shards that are broadcast.
@@ -294,11 +295,13 @@ def dedup_shards(texts: DataFrame, passages: DataFrame, window: int, phrase: int
     return texts.groupBy("shard").cogroup(passages.groupBy("shard")).applyInArrow(streamed, schema)
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, bits: int = BITMAP_BITS, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, bits: int | None = None, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     every = document_anchors(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, phrase)
     shared = every.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    shared = materialize(shared, "substring-shared")
+    bits = bits or min(max(1 << (BITS_EACH * shared.count()).bit_length(), LEAST_BITS), MOST_BITS)
     cells = spark.sparkContext.broadcast(bitmap(shared, bits))
     table_ = materialize(with_candidates(docs, cells, window, phrase), "substring-documents")
     done = table_.where("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
