@@ -524,8 +524,7 @@ def keep_first(docs: DataFrame, budget: int = MAX_BITS, shingle_words: int = SHI
     else:
         linked = verified_duplicates(docs, word_set_seeds, least_jaccard, budget)
     found = materialize(linked.select("doc_id", "component_id"), "simhash-kept")
-    # merged at every size: texts are dealt by doc_id once, whether few or many documents go
-    later = found.where("doc_id <> component_id").select("doc_id").distinct().hint("merge")
+    later = found.where("doc_id <> component_id").select("doc_id").distinct()  # broadcast by Spark only where it is small
     kept = docs.join(later, "doc_id", "left_anti").select(docs.columns)
     repeated = materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-repeated")
     if repeated.isEmpty():
