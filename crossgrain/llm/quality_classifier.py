@@ -36,6 +36,8 @@ POOLED_SHRINKAGE = 0.1
 #: Added to every variance.
 RIDGE = 1e-4
 ACCEPT = 0.7
+#: Labelled rows, about, that the pipeline's stage fits to; with more labels, a part of them by a hash of doc_id.
+TRAIN_ROWS, TRAIN_SEED = 50_000, 11
 #: Added to what shares are taken of, so that a few words say little for or against a document.
 PRIOR_WORDS, PRIOR_CHARS, PRIOR_LINES = 30, 200, 5
 
@@ -74,11 +76,12 @@ def statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 @dataclass(frozen=True)
 class Gaussian:
-    """A class's log prior, mean, and inverse of the covariance's Cholesky factor with its log determinant."""
+    """A class's log prior, mean and covariance's Cholesky factor, with half of the covariance's log determinant taken once."""
 
     log_prior: float
     mean: np.ndarray
     factor: np.ndarray
+    log_scale: float
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
         """Of each row of `x`, up to a constant: the Mahalanobis distance comes from L z = x - mean."""
@@ -86,7 +89,7 @@ class Gaussian:
         d, low = x - self.mean, self.factor
         for j in range(low.shape[0]):
             z[:, j] = (d[:, j] - z[:, :j] @ low[j, :j]) / low[j, j]
-        return self.log_prior - np.log(np.diag(low)).sum() - 0.5 * (z * z).sum(axis=1)
+        return self.log_prior - self.log_scale - 0.5 * (z * z).sum(axis=1)
 
 
 @dataclass(frozen=True)
@@ -125,7 +128,8 @@ def fit(labelled: DataFrame, features: tuple[str, ...] = FEATURES, diagonal: flo
     for c in (0, 1):
         shrunk = (1 - pooled) * covs[c] + pooled * both
         shrunk = (1 - diagonal) * shrunk + diagonal * np.diag(np.diag(shrunk)) + ridge * np.eye(p)
-        gaussians.append(Gaussian(float(np.log(rows[c]["n"] / total)), means[c], np.linalg.cholesky(shrunk)))
+        factor = np.linalg.cholesky(shrunk)
+        gaussians.append(Gaussian(float(np.log(rows[c]["n"] / total)), means[c], factor, float(np.log(np.diag(factor)).sum())))
     return Model(tuple(gaussians))
 
 
@@ -167,9 +171,24 @@ def score_column(model: Model, features: tuple[str, ...] = FEATURES) -> Column:
     return F.pandas_udf(scored, "double")(F.struct(*features))
 
 
-def accept_documents(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """The rows of `docs` whose score is at least `accept`, with all their columns; texts are mapped over, never shuffled."""
-    model = fitted(materialize(statistics(docs), "quality-statistics"), labels)
+def some_labels(labels: DataFrame, rows: int = TRAIN_ROWS, seed: int = TRAIN_SEED) -> DataFrame:
+    """doc_id and quality of all usable rows of `labels` that are not held out or, if there are more than `rows`, of about so many."""
+    usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
+    n = usable.count()
+    if n <= rows:
+        return usable
+    return usable.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+
+
+def accept_documents(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of `docs` whose score is at least `accept`, with all their columns; texts are mapped over, never shuffled.
+
+    The statistics of all texts are computed once, where they are scored; the fit computes those of its labelled rows, about
+    `train_rows`, whose ids are broadcast. A null text counts as empty; repeated rows and null ids are scored like any other.
+    """
+    some = materialize(some_labels(labels, train_rows), "quality-labels")
+    train = docs.select("doc_id", "text").join(F.broadcast(some.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = fitted(materialize(statistics(train), "quality-statistics"), some)
     scored = statistics(docs.select("doc_id", "text", F.struct("*").alias("doc_row")), ("doc_row",))
     return scored.where(score_column(model) >= accept).select("doc_row.*")
 

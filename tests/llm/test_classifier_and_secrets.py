@@ -44,6 +44,37 @@ def test_scores_equal_densities_and_both_ways_agree(spark, sf_dir):
         assert r["score"] == pytest.approx(want, abs=1e-9) and one[r["doc_id"]]["score"] == pytest.approx(want, abs=1e-9)
 
 
+def test_fit_equals_the_textbook(spark, sf_dir):
+    """The whole fit against numpy over collected rows: the held-out rule, class means, shrunk covariances, priors and scores."""
+    import zlib as z
+
+    stats = C.statistics(C.table(spark, sf_dir, "documents")).persist()
+    rows = {r["doc_id"]: [r[f] for f in C.FEATURES] for r in stats.collect()}
+    labels = {r["doc_id"]: r["quality"] for r in C.table(spark, sf_dir, "labels").collect()}
+    train = [d for d in labels if d in rows and z.crc32(str(d).encode()) % 4 != 2]
+    x, y = np.array([rows[d] for d in train]), np.array([labels[d] for d in train])
+    covs = [np.cov(x[y == c].T, bias=True) for c in (0, 1)]
+    both = sum(covs[c] * (y == c).mean() for c in (0, 1))
+    every = np.array(list(rows.values()))
+    logs = []
+    for c in (0, 1):
+        s = (1 - C.POOLED_SHRINKAGE) * covs[c] + C.POOLED_SHRINKAGE * both
+        s = (1 - C.DIAGONAL_SHRINKAGE) * s + C.DIAGONAL_SHRINKAGE * np.diag(np.diag(s)) + C.RIDGE * np.eye(len(s))
+        d = every - x[y == c].mean(axis=0)
+        logs.append(np.log((y == c).mean()) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(s), d))
+    want = dict(zip(rows, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700))), strict=True))
+    got = {r["doc_id"]: r["score"] for r in C.op2_quality_classifier(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in got) < 1e-6
+
+
+def test_the_stage_fits_to_a_bounded_part(spark, sf_dir):
+    docs, labels = C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")
+    every = C.some_labels(labels, 10**9).count()
+    assert 0.5 < C.some_labels(labels, every // 2).count() / (every // 2) < 1.5
+    one, two = ({r["doc_id"] for r in C.accept_documents(docs, labels, train_rows=n).select("doc_id").collect()} for n in (every, every // 2))
+    assert len(one ^ two) < 0.05 * docs.count()
+
+
 def test_held_out_rule_and_labels(spark):
     import zlib as z
 
