@@ -38,3 +38,11 @@ def soft_rank(value: str, reg: float) -> Column:
     """The soft rank part of one other value y: 1 / (1 + exp(-(x - y) / reg))."""
     z = F.greatest(F.least((F.col(value) - F.col(f"{value}_other")) / reg, F.lit(700.0)), F.lit(-700.0))
     return 1 / (1 + F.exp(-z))
+
+
+def soft_rank_losses(rows: DataFrame, pred: str, target: str, reg: float = 1e-2) -> DataFrame:
+    """d, loss, n: 1 less the correlation of the soft ranks of `pred` and `target` at each date; 0 under 3 rows."""
+    other = rows.select("d", F.col(pred).alias(f"{pred}_other"), F.col(target).alias(f"{target}_other"))
+    ranks = rows.join(other, "d").groupBy("d", "asset").agg(F.sum(soft_rank(pred, reg)).alias("rp"), F.sum(soft_rank(target, reg)).alias("rt"))
+    corr = F.try_divide(F.covar_pop("rp", "rt"), F.stddev_pop("rp") * F.stddev_pop("rt"))
+    return ranks.groupBy("d").agg(F.when(F.count("*") < 3, F.lit(0.0)).otherwise(1 - corr).alias("loss"), F.count("*").alias("n"))

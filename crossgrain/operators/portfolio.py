@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crossgrain.functions.cross_section import average_rank
+from crossgrain.functions.inference import newey_west
 
 EULER = 0.5772156649015329
 
@@ -143,3 +144,14 @@ def deflated_sharpe(sr: float, n: float, skew: float, kurt: float, n_trials: int
 def effective_length(n: int, se_iid: float, se_hac: float) -> float:
     """Values that a correlated series is worth."""
     return n * (se_iid / se_hac) ** 2
+
+
+def series_significance(series: DataFrame, order: str, by: str) -> DataFrame:
+    """by, mean_ic, n, t_eff and ic_psr of `series` (by, order, x): the probabilistic Sharpe ratio against 0 with t_eff for n, finished on the driver from a row a series."""
+    hac, iid = newey_west(series, order, by), newey_west(series, order, by, lag=0).select(by, F.col("se").alias("se_iid"))
+    rows = hac.join(iid, by).join(moments(series.select(by, F.col("x").alias("r")), by).drop("n"), by).collect()
+    out = []
+    for r in rows:
+        t_eff = effective_length(r["n"], r["se_iid"], r["se"]) if r["se"] else float(r["n"])
+        out.append((r[by], r["mean"], r["n"], t_eff, probabilistic_sharpe(r["sharpe"], r["n"], r["skew"], r["kurt"], t_eff=t_eff)))
+    return series.sparkSession.createDataFrame(out, f"{by} {series.schema[by].dataType.simpleString()}, mean_ic double, n long, t_eff double, ic_psr double")

@@ -1,20 +1,19 @@
-"""Bootstraps and power by simulation: seeded numpy kernels over Arrow, simulations dealt over tasks."""
+"""Bootstraps and power by simulation: seeded numpy kernels over Arrow, a series a group or row."""
 
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pandas as pd
+from pyspark.sql import DataFrame
 
 
-def bootstrap_ci(series: DataFrame, order: str, by: str, block: int | None = None, alpha: float = 0.05, n_boot: int = 2000, seed: int = 0) -> DataFrame:
+def bootstrap_ci(series: DataFrame, order: str, by: str, block: int | None = None, alpha: float = 0.05, n_boot: int = 10_000, seed: int = 0) -> DataFrame:
     """by, lo, hi: quantiles of resampled means of x; moving blocks of `block` values, or single values where None. One series is one group."""
 
     def resampled(pdf):
-        import pandas as pd
-
         x = pdf.sort_values(order)["x"].dropna().to_numpy()
         n, size = len(x), block or 1
         if n == 0:
@@ -32,41 +31,67 @@ def bootstrap_ci(series: DataFrame, order: str, by: str, block: int | None = Non
     return series.select(by, order, "x").groupBy(by).applyInPandas(resampled, f"{by} {kind}, lo double, hi double")
 
 
-def hac_t(x: np.ndarray) -> float:
-    """The Newey-West t of a series, as `inference.newey_west` has it."""
-    n = len(x)
+def hac_se(x: np.ndarray) -> np.ndarray:
+    """The Newey-West standard error of each row's mean, as `inference.newey_west` has it."""
+    n = x.shape[1]
     lag = max(min(int(4 * (n / 100) ** (2 / 9)), n - 1), 0)
-    e = x - x.mean()
-    s = e @ e + 2 * sum((1 - k / (lag + 1)) * (e[k:] @ e[:-k]) for k in range(1, lag + 1))
-    return x.mean() / (math.sqrt(max(s, 0)) / n) if s > 0 else 0.0
-
-
-def simulated_power(spark: SparkSession, effect: float, n_dates: int, ic_sd: float, phi: float, alpha_t: float = 1.96, n_sims: int = 400, seed: int = 0) -> float:
-    """How often the HAC test rejects for AR(1) series with mean `effect`: simulations are rows, dealt over tasks."""
-
-    def simulated(batches):
-        import pandas as pd
-
+    e = x - x.mean(axis=1, keepdims=True)
+    s = (e * e).sum(axis=1)
+    for k in range(1, lag + 1):
+        s = s + 2 * (1 - k / (lag + 1)) * (e[:, k:] * e[:, :-k]).sum(axis=1)
+    return np.sqrt(np.maximum(s, 0)) / n
+
+
+def autoregressions(n_sims: int, n_dates: int, sd: float, phi: float, seed: int) -> np.ndarray:
+    """Stationary AR(1) series around 0, one a row."""
+    rng = np.random.default_rng(seed)
+    x = np.empty((n_sims, n_dates))
+    x[:, 0] = rng.normal(0, sd, n_sims)
+    for t in range(1, n_dates):
+        x[:, t] = phi * x[:, t - 1] + rng.normal(0, sd * math.sqrt(1 - phi * phi), n_sims)
+    return x
+
+
+class PowerCurve:
+    """How often the HAC test rejects, by effect. An effect moves every value alike, so one set of series serves all effects."""
+
+    def __init__(self, n_dates: int, sd: float, phi: float, n_sims: int = 2000, seed: int = 0):
+        x = autoregressions(n_sims, n_dates, sd, phi, seed)
+        self.mean, self.se = x.mean(axis=1), hac_se(x)
+
+    def power(self, effect: float, critical: float = 1.96) -> float:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.where(self.se > 0, np.abs(self.mean + effect) / self.se, 0.0)
+        return float((t > critical).mean())
+
+    def detectable(self, power: float = 0.8, cap: float = 0.2, steps: int = 24) -> float:
+        """The least effect up to `cap` that is found with `power`; the cap, with a warning, where even that is not."""
+        if self.power(cap) < power:
+            warnings.warn(f"no effect up to {cap} is found with power {power}", stacklevel=2)
+            return cap
+        lo, hi = 0.0, cap
+        for _ in range(steps):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if self.power(mid) >= power else (mid, hi)
+        return hi
+
+
+def with_detectable(results: DataFrame, n: str, sd: str, phi: str, name: str = "mde_80", n_sims: int = 400, least_sd: float = 1e-6, scale_cap: bool = False) -> DataFrame:
+    """`results`, a row a series, and the least effect that a series like it shows; NULL under 3 dates. With `scale_cap` effects go up to three deviations, for series that are no correlations."""
+
+    def found(batches):
         for pdf in batches:
-            hits = []
-            for sim in pdf["id"]:
-                rng = np.random.default_rng([seed, int(sim)])
-                x, noise = np.empty(n_dates), rng.normal(0, ic_sd * math.sqrt(1 - phi * phi), n_dates)
-                x[0] = rng.normal(0, ic_sd)
-                for t in range(1, n_dates):
-                    x[t] = phi * x[t - 1] + noise[t]
-                hits.append(float(abs(hac_t(x + effect)) > alpha_t))
-            yield pd.DataFrame({"hit": hits})
-
-    return spark.range(n_sims).mapInPandas(simulated, "hit double").agg(F.avg("hit")).first()[0]
-
-
-def min_detectable_effect(spark: SparkSession, n_dates: int, ic_sd: float, phi: float, power: float = 0.8, cap: float = 0.2, steps: int = 12, n_sims: int = 200, seed: int = 0) -> float:
-    """The least effect that the test finds with `power`, by bisection up to `cap`; the cap where even that is not found."""
-    if simulated_power(spark, cap, n_dates, ic_sd, phi, n_sims=n_sims, seed=seed) < power:
-        return cap
-    lo, hi = 0.0, cap
-    for _ in range(steps):
-        mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if simulated_power(spark, mid, n_dates, ic_sd, phi, n_sims=n_sims, seed=seed) >= power else (mid, hi)
-    return hi
+            out = []
+            for n_, sd_, phi_ in zip(pdf[n], pdf[sd], pdf[phi], strict=True):
+                if n_ != n_ or n_ < 3 or sd_ != sd_:
+                    out.append(None)
+                    continue
+                sd_ = max(float(sd_), least_sd)
+                with warnings.catch_warnings():
+                    warnings.simplefilter("ignore")
+                    out.append(PowerCurve(int(n_), sd_, float(phi_), n_sims).detectable(cap=3 * sd_ if scale_cap else 0.2))
+            yield pdf.assign(**{name: pd.Series(out, index=pdf.index, dtype="float64")})
+
+    from pyspark.sql.types import DoubleType, StructType
+
+    return results.mapInPandas(found, StructType([*results.schema.fields]).add(name, DoubleType()))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from crossgrain.sources.panels import manifest
+
 # Month abbreviations of filing dates.
 MONTHS = {"JAN": 1, "FEB": 2, "MAR": 3, "APR": 4, "MAY": 5, "JUN": 6, "JUL": 7, "AUG": 8, "SEP": 9, "OCT": 10, "NOV": 11, "DEC": 12}
 
@@ -84,3 +86,37 @@ def content_hash(panel: DataFrame) -> DataFrame:
     row = F.sha2(F.concat_ws("|", F.col("asset").cast("string"), F.col("d").cast("string"), F.coalesce(F.format_string("%.6f", F.round("px", 6)), F.lit(""))), 256)
     part = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
     return panel.select(part.alias("p")).agg(F.sum("p").cast("string").alias("digest"), F.count("*").alias("n"))
+
+
+def verify(panel: DataFrame, expected: dict) -> list[str]:
+    """What of `expected` (a manifest and, as `digest`, a content hash) does not hold for `panel`; empty where nothing drifted."""
+    found = manifest(panel) | {"digest": content_hash(panel).first()["digest"]}
+    return [f"{k}: {found.get(k)} for {v}" for k, v in expected.items() if found.get(k) != v]
+
+
+def snapshot_table(spark: SparkSession, snapshots: list[tuple[str, str]]) -> DataFrame:
+    """period and public, each period once: when what holders filed for a period could be read. A date before its period raises."""
+    if bad := [p for p, public in snapshots if public <= p]:
+        raise ValueError(f"public before the end of the period: {bad}")
+    return spark.createDataFrame(list(dict(snapshots).items()), "period string, public string").select(F.col("period").cast("date").alias("period"), F.col("public").cast("date").alias("public"))
+
+
+def identifier_map(spark: SparkSession, path: str, asset: str = "ticker", identifier: str = "cusip") -> DataFrame:
+    """cusip and asset of a CSV dimension: identifiers are text, so leading zeros stay; repeated identifiers and empty fields raise."""
+    rows = spark.read.option("header", True).csv(path).select(F.trim(identifier).alias("cusip"), F.trim(asset).alias("asset"))
+    bad = rows.groupBy("cusip").agg(F.count("*").alias("n"), F.count_if(F.coalesce("asset", F.lit("")) == "").alias("e")).where("n > 1 OR e > 0 OR coalesce(cusip, '') = ''")
+    if not bad.isEmpty():
+        raise ValueError(f"identifiers that are repeated or empty: {[r['cusip'] for r in bad.limit(5).collect()]}")
+    return rows
+
+
+def ordered_universe(*lists: list[str]) -> list[str]:
+    """The assets of all lists, each at its first place."""
+    return list(dict.fromkeys(a for x in lists for a in x))
+
+
+def read_universe(spark: SparkSession, path: str) -> DataFrame:
+    """asset, sector and place of a CSV universe (asset, sector): each asset at its first line, `other` without a sector."""
+    lines = spark.read.option("header", True).csv(path).select("asset", "sector", F.monotonically_increasing_id().alias("line"))
+    first = lines.where("asset IS NOT NULL").groupBy("asset").agg(F.min(F.struct("line", "sector")).alias("f"))
+    return first.select("asset", F.coalesce("f.sector", F.lit("other")).alias("sector"), (F.row_number().over(W.orderBy("f.line")) - 1).alias("place"))

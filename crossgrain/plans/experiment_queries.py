@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from crossgrain.operators import features as FE
 from crossgrain.operators import models as M
+from crossgrain.operators import synthetic as Y
 from crossgrain.plans import experiments as E
 from crossgrain.plans.catalog import register
-from crossgrain.plans.graph_queries import ASOF_POS
+from crossgrain.plans.graph_queries import asofs
 from crossgrain.plans.panel_queries import months
 from crossgrain.sources import panels as P
 from crossgrain.sources.scratch import materialize
@@ -66,46 +67,90 @@ def x_vol_robustness(spark, sf_dir):
     return E.volatility_robustness(weeks(spark, sf_dir), P.brand_sectors(spark, sf_dir))
 
 
+def public_links(spark, sf_dir, days):
+    """d, src, dst, weight: co-holding links, both ways, of the latest snapshot that is public at each of `days` (d)."""
+    h = P.holders(spark, sf_dir)
+    edges = E.G.coholding_links(h.select(F.col("snapshot").alias("as_of"), "holder", "asset"))
+    shown = E.G.asof_snapshot(days, h.select("public")).where("as_of IS NOT NULL").select("d", (F.year("as_of") - 1).alias("snapshot"))
+    both = E.G.symmetrize(edges)
+    return materialize(both.join(F.broadcast(shown), both["as_of"] == shown["snapshot"]).select("d", "src", "dst", "weight"), "links")
+
+
+def study_books(spark, sf_dir):
+    panel = weeks(spark, sf_dir)
+    return E.estimator_books(panel, public_links(spark, sf_dir, P.calendar(panel).select("d")))
+
+
 @register("x_estimators")
 def x_estimators(spark, sf_dir):
-    return E.evaluate_estimators(weeks(spark, sf_dir), list(range(160, 340, 20)))
+    return E.evaluate_estimators(study_books(spark, sf_dir))
+
+
+@register("x_estimator_regimes")
+def x_estimator_regimes(spark, sf_dir):
+    return E.estimator_regimes(study_books(spark, sf_dir))
 
 
 @register("x_temporal")
 def x_temporal(spark, sf_dir):
-    """Scores of mlp, gnn and the recurrent network by date."""
+    """The recurrent network with the graph and without."""
     panel = weeks(spark, sf_dir)
-    scores = E.network_scores(panel, weekly_edges(panel))
-    return E.scored(E.X.rank_ic(scores, "pred", "target", "model", "d").withColumnRenamed("ic", "x").select("model", "d", "x"), "model")
+    scores = E.recurrent_scores(panel, weekly_edges(panel))
+    ic = E.X.rank_ic(scores, "pred", "target", "graph", "d").select("graph", "d", F.col("ic").alias("x"))
+    return E.scored(ic, "graph").select("graph", "mean_ic", "hac_t", "p", "n_dates")
 
 
 @register("x_primary_endpoint")
 def x_primary_endpoint(spark, sf_dir):
-    panel = weeks(spark, sf_dir)
-    return E.primary_endpoint(E.network_scores(panel, weekly_edges(panel)))
+    return E.primary_endpoint(E.out_of_sample_ic(weeks(spark, sf_dir), P.brand_sectors(spark, sf_dir), ("correlation", "sector"), ("mlp", "gnn"), ("y_ret", "y_vol"), 5, 64, 5, 10, 20))
+
+
+def coholding_edges(spark, sf_dir, panel):
+    days = E.rebalances(panel, 64, 5).select(F.col("as_of").alias("d"))
+    return public_links(spark, sf_dir, days).withColumnRenamed("d", "as_of")
 
 
 @register("x_coholding")
 def x_coholding(spark, sf_dir):
     """The lead-lag study over co-holding graphs, each from the day it is public."""
     panel = weeks(spark, sf_dir)
-    h = P.holders(spark, sf_dir)
-    edges = E.G.coholding_links(h.select(F.col("snapshot").alias("as_of"), "holder", "asset"))
-    shown = E.G.asof_snapshot(E.rebalances(panel, 64, 5).select(F.col("as_of").alias("d")), h.select("public")).where("as_of IS NOT NULL").select("d", (F.year("as_of") - 1).alias("snapshot"))
-    dated = edges.join(F.broadcast(shown), edges["as_of"] == shown["snapshot"]).select(F.col("d").alias("as_of"), "src", "dst", "weight")
-    return E.leadlag(panel, materialize(dated, "edges"))
+    return E.leadlag(panel, coholding_edges(spark, sf_dir, panel))
+
+
+@register("x_coholding_volspill")
+def x_coholding_volspill(spark, sf_dir):
+    panel = weeks(spark, sf_dir)
+    return E.volatility_spillover(panel, coholding_edges(spark, sf_dir, panel))
+
+
+@register("x_spillover_psr")
+def x_spillover_psr(spark, sf_dir):
+    """How sure the controlled spillover over co-holdings is, with the dates that its series is worth."""
+    panel = weeks(spark, sf_dir)
+    return E.spillover_significance(panel, coholding_edges(spark, sf_dir, panel))
+
+
+@register("x_coholding_planted")
+def x_coholding_planted(spark, sf_dir):
+    """The lead-lag study on a market whose returns follow those of co-held assets: it finds what was planted."""
+    import numpy as np
+
+    links = Y.holder_links((np.random.default_rng(5).random((40, 24)) < 0.2).astype(float))
+    panel = materialize(P.with_returns(Y.to_panel(spark, Y.leadlag_market(links, 500))), "panel")
+    days = [r["d"] for r in E.rebalances(panel, 64, 5).select(F.col("as_of").alias("d")).collect()]
+    return E.leadlag(panel, materialize(Y.edges_of(spark, links, days), "edges"))
 
 
 @register("gbm_predictions")
 def gbm_predictions(spark, sf_dir):
     """Boosted trees on the supplier panel: fitted on the first 60 months, applied to the rest."""
     p = months(spark, sf_dir).select("pos", "asset", FE.performance(1).alias("a"), FE.performance(3).alias("b"), FE.forward_return(1).alias("y"))
-    return M.boosted_trees(p.where("pos < 60"), p.where("pos >= 60 AND y IS NOT NULL"), ["a", "b"], "y", trees=10).select("pos", "asset", "pred", "y")
+    return M.boosted_trees(p.where("pos < 60"), p.where("pos >= 60 AND y IS NOT NULL"), ["a", "b"], "y").select("pos", "asset", "pred", "y")
 
 
 @register("neighbour_features_asof")
 def neighbour_features_asof(spark, sf_dir):
-    """The data set of the ablation at three dates: nine standardised features and both labels."""
+    """The data set of the ablation at every rebalance: nine standardised features and both labels."""
     panel = weeks(spark, sf_dir)
-    at = P.calendar(panel).where(F.col("pos").isin(*ASOF_POS)).select(F.col("d").alias("as_of"), F.col("pos").alias("as_of_pos"))
+    at = asofs(panel)
     return E.build_dataset(panel, "correlation", at, P.brand_sectors(spark, sf_dir))

@@ -17,16 +17,17 @@ from crossgrain.plans.catalog import register
 from crossgrain.plans.panel_queries import BW, SM, W_ASSET, months, rounded, weeks
 from crossgrain.sources import panels as P
 
-ASOF_POS = (100, 200, 300)
-ASOFS_SQL = f"asofs AS (SELECT d AS as_of, pos AS as_of_pos FROM calendar WHERE pos IN {ASOF_POS}), nodes AS (SELECT as_of, asset FROM asofs CROSS JOIN (SELECT DISTINCT asset FROM panel))"
+#: Graphs are made as of every twentieth week that has sixty before it, to the end of the calendar.
+ASOF = "pos >= 60 AND pos % 20 = 0"
+ASOFS_SQL = f"asofs AS (SELECT d AS as_of, pos AS as_of_pos FROM calendar WHERE {ASOF}), nodes AS (SELECT as_of, asset FROM asofs CROSS JOIN (SELECT DISTINCT asset FROM panel))"
 
 
 def asofs(panel):
-    return P.calendar(panel).where(F.col("pos").isin(*ASOF_POS)).select(F.col("d").alias("as_of"), F.col("pos").alias("as_of_pos"))
+    return P.calendar(panel).where(ASOF).select(F.col("d").alias("as_of"), F.col("pos").alias("as_of_pos"))
 
 
 def nodes(panel):
-    return panel.where(F.col("pos").isin(*ASOF_POS)).select(F.col("d").alias("as_of"), "asset")
+    return panel.where(ASOF).select(F.col("d").alias("as_of"), "asset")
 
 
 CORR_SQL = f"""{BW}, {ASOFS_SQL}, win AS (SELECT as_of, pos, asset, ret FROM asofs JOIN rets ON pos BETWEEN as_of_pos - 59 AND as_of_pos WHERE ret IS NOT NULL),
@@ -47,10 +48,24 @@ def graph_corr_knn(spark, sf_dir):
     return rounded(knn(spark, sf_dir))
 
 
-@register("graph_corr_shrunk", f"WITH {CORR_SQL} SELECT as_of, src, dst, round(weight * 0.8, 6) + 0.0 AS weight FROM knn")
+#: Covariances shrunk towards a multiple of the identity, on the dates at which every asset has a return; raw correlations less a fifth where those are too few.
+LW_SQL = f"""{CORR_SQL}, allw AS (SELECT as_of, pos, asset, ret FROM asofs JOIN rets ON pos BETWEEN as_of_pos - 59 AND as_of_pos),
+cw AS (SELECT as_of, pos FROM allw GROUP BY 1, 2 HAVING count(ret) = (SELECT count(DISTINCT asset) FROM panel)),
+cx AS (SELECT as_of, pos, asset, ret - avg(ret) OVER (PARTITION BY as_of, asset) AS x FROM allw JOIN cw USING (as_of, pos)),
+cs AS (SELECT a.as_of, a.asset AS i, b.asset AS j, avg(a.x * b.x) AS s, count(*) AS t FROM cx a JOIN cx b ON a.as_of = b.as_of AND a.pos = b.pos GROUP BY 1, 2, 3),
+cq AS (SELECT as_of, avg(q * q) AS q4 FROM (SELECT as_of, pos, sum(x * x) AS q FROM cx GROUP BY 1, 2) GROUP BY 1),
+cd AS (SELECT as_of, avg(CASE WHEN i = j THEN s END) AS mu, count(CASE WHEN i = j THEN 1 END) AS n, sum(s * s) AS ss, max(t) AS t FROM cs GROUP BY 1),
+dl AS (SELECT as_of, mu, coalesce(least((q4 - ss) / t, ss - n * mu * mu) / nullif(ss - n * mu * mu, 0), 0) AS delta FROM cd JOIN cq USING (as_of) WHERE t >= greatest(5, floor(n / 2))),
+cv AS (SELECT as_of, i, s AS v FROM cs WHERE i = j),
+lwc AS (SELECT c.as_of, c.i AS src, c.j AS dst, (1 - delta) * s / nullif(sqrt((delta * mu + (1 - delta) * vi.v) * (delta * mu + (1 - delta) * vj.v)), 0) AS corr FROM cs c JOIN dl ON dl.as_of = c.as_of JOIN cv vi ON vi.as_of = c.as_of AND vi.i = c.i JOIN cv vj ON vj.as_of = c.as_of AND vj.i = c.j WHERE c.i <> c.j
+UNION ALL SELECT as_of, src, dst, 0.8 * coalesce(corr, 0) FROM corrs WHERE as_of NOT IN (SELECT as_of FROM dl)),
+lwk AS (SELECT as_of, src, dst, corr AS weight FROM (SELECT *, row_number() OVER (PARTITION BY as_of, src ORDER BY round(abs(corr), 12) DESC, dst) AS rn FROM lwc WHERE corr IS NOT NULL) WHERE rn <= 10)"""
+
+
+@register("graph_corr_shrunk", f"WITH {LW_SQL} SELECT {EDGE} FROM lwk")
 def graph_corr_shrunk(spark, sf_dir):
     p = weeks(spark, sf_dir)
-    return rounded(G.correlation_knn(p, asofs(p), shrinkage=0.2))
+    return rounded(G.correlation_knn(p, asofs(p), shrinkage="lw"))
 
 
 @register("graph_sector", f"WITH {BW}, {ASOFS_SQL}, {SEC_SQL} SELECT as_of, src, dst, 1.0 :: DOUBLE AS weight FROM sec_all")
@@ -170,7 +185,7 @@ TR_SQL = f"tr AS (SELECT d AS as_of, asset, coalesce(product(1 + ret) OVER {W_AS
 
 
 def trailing_at(panel, rows=5):
-    return panel.select(F.col("d").alias("as_of"), "pos", "asset", FE.trailing_return(rows).alias("v")).where(F.col("pos").isin(*ASOF_POS))
+    return panel.select(F.col("d").alias("as_of"), "pos", "asset", FE.trailing_return(rows).alias("v")).where(ASOF)
 
 
 @register("nbr_return", f"WITH {CORR_SQL}, {TR_SQL} SELECT k.as_of, src AS asset, round(avg(v), 6) + 0.0 AS nbr FROM knn k JOIN tr ON tr.as_of = k.as_of AND tr.asset = dst GROUP BY 1, 2")
@@ -222,7 +237,8 @@ LL_SQL = f"""{SM.replace('l_suppkey AS asset', 'p_brand AS asset').replace('FROM
 tr AS (SELECT d, pos, asset, coalesce(product(1 + ret) OVER {W_ASSET} ROWS 2 PRECEDING), 1) - 1 AS v, lead(px) OVER {W_ASSET}) / px - 1 AS fwd FROM rets),
 sig AS (SELECT p.d, src AS asset, sum(abs(weight) * v) / nullif(sum(abs(weight)), 0) AS sig FROM pub p JOIN coh c ON c.as_of = p.as_of JOIN tr ON tr.d = p.d AND tr.asset = dst GROUP BY 1, 2),
 lr AS (SELECT sig.d, sig.asset, sig.sig, tr.v, tr.fwd FROM sig JOIN tr USING (d, asset)),
-rs AS (SELECT *, CASE WHEN count(sig) OVER w < 3 THEN sig ELSE sig - avg(sig) OVER w - coalesce(covar_pop(sig, v) OVER w / nullif(var_pop(v) OVER w, 0), 0) * (v - avg(v) OVER w) END AS resid FROM lr WINDOW w AS (PARTITION BY d))"""
+lv AS (SELECT *, CASE WHEN fwd IS NOT NULL THEN v END AS vv FROM lr),
+rs AS (SELECT *, CASE WHEN count(fwd) OVER w < 3 THEN fwd ELSE fwd - avg(fwd) OVER w - coalesce(covar_pop(fwd, vv) OVER w / nullif(var_pop(vv) OVER w, 0), 0) * (vv - avg(vv) OVER w) END AS resid FROM lv WINDOW w AS (PARTITION BY d))"""
 
 
 def leadlag_frame(spark, sf_dir):
@@ -239,10 +255,11 @@ def leadlag_frame(spark, sf_dir):
     return sig.join(tr, ["d", "asset"])
 
 
-@register("leadlag_resid_ic", f"WITH {LL_SQL}, {X.rank_ic_sql('rs', 'resid', 'fwd')} SELECT d, round(ic, 6) + 0.0 AS ic, n FROM ic_series")
+@register("leadlag_resid_ic", f"WITH {LL_SQL}, {X.rank_ic_sql('rs', 'sig', 'resid')} SELECT d, round(ic, 6) + 0.0 AS ic, n FROM ic_series")
 def leadlag_resid_ic(spark, sf_dir):
-    df = leadlag_frame(spark, sf_dir).withColumn("resid", FE.residual("sig", "v", "d"))
-    return rounded(X.rank_ic(df, "resid", "fwd", "d"))
+    """Own momentum is taken out of the forward return, not out of the signal."""
+    df = leadlag_frame(spark, sf_dir).withColumn("resid", FE.residual("fwd", "v", "d"))
+    return rounded(X.rank_ic(df, "sig", "resid", "d"))
 
 
 #: Membership changes from orders: a supplier's first and last months of shipping.
@@ -321,12 +338,13 @@ def purge_step_len(spark, sf_dir):
     return S.rebalance_step(FE.last_date_of(P.calendar(P.brand_week(spark, sf_dir)), "month"))
 
 
-@register("soft_rank_loss", f"""WITH {SM}, x AS (SELECT d, asset, ret AS v FROM rets WHERE ret IS NOT NULL AND pos = 40)
-SELECT a.asset, round(sum(1 / (1 + exp(-greatest(least((a.v - b.v) / 0.01, 700), -700)))), 6) AS soft_rank FROM x a, x b GROUP BY a.asset""")
+@register("soft_rank_loss", f"""WITH {SM}, x AS (SELECT d, asset, -ret AS p, lead(px) OVER {W_ASSET}) / px - 1 AS y FROM rets), ok AS (SELECT * FROM x WHERE p IS NOT NULL AND y IS NOT NULL),
+r AS (SELECT a.d, a.asset, sum(1 / (1 + exp(-greatest(least((a.p - b.p) / 0.01, 700), -700)))) AS rp, sum(1 / (1 + exp(-greatest(least((a.y - b.y) / 0.01, 700), -700)))) AS ry FROM ok a JOIN ok b ON a.d = b.d GROUP BY 1, 2)
+SELECT d, round(CASE WHEN count(*) < 3 THEN 0 ELSE 1 - covar_pop(rp, ry) / nullif(stddev_pop(rp) * stddev_pop(ry), 0) END, 6) + 0.0 AS loss, count(*) AS n FROM r GROUP BY d""")
 def soft_rank_loss(spark, sf_dir):
-    x = months(spark, sf_dir).where("ret IS NOT NULL AND pos = 40").select("d", "asset", F.col("ret").alias("v"))
-    pairs = x.join(x.select("d", F.col("v").alias("v_other")), "d")
-    return rounded(pairs.groupBy("asset").agg(F.sum(N.soft_rank("v", 0.01)).alias("soft_rank")))
+    """The loss of the reversal signal against the next return, at every date."""
+    x = months(spark, sf_dir).select("d", "asset", (-F.col("ret")).alias("p"), FE.forward_return(1).alias("y")).where("p IS NOT NULL AND y IS NOT NULL")
+    return rounded(N.soft_rank_losses(x, "p", "y", 0.01))
 
 
 @register("sage_mean_aggregate", f"WITH {CORR_SQL}, {TR_SQL} SELECT n.as_of, n.asset, round(coalesce((SELECT avg(v) FROM knn k JOIN tr ON tr.as_of = k.as_of AND tr.asset = k.src WHERE k.as_of = n.as_of AND k.dst = n.asset), 0), 6) + 0.0 AS agg FROM nodes n")

@@ -113,7 +113,8 @@ def sharpe_moments(spark, sf_dir):
     return m.select("config", "n", F.round("sharpe", 6).alias("sharpe"), F.round("skew", 5).alias("skew"), F.round("kurt", 5).alias("kurt"))
 
 
-BLOCKS = 8
+#: Twelve thousand eight hundred and seventy ways to choose half of them.
+BLOCKS = 16
 CSCV_SQL = f"""{BW}, {CONFIG_SQL}, bl AS (SELECT config, t, r, (SELECT max(b) FROM range({BLOCKS}) x(b) WHERE floor(n * b / {BLOCKS}.0) <= t) AS block, n FROM al, nd),
 bs AS (SELECT config, block, count(*) AS c, sum(r) AS s, sum(r * r) AS ss FROM bl WHERE t < floor(n * (block + 1) / {BLOCKS}.0) - CASE WHEN block < {BLOCKS - 1} THEN 4 ELSE 0 END GROUP BY 1, 2),
 mk AS (SELECT m AS mask FROM range({1 << BLOCKS}) x(m) WHERE bit_count(m) = {BLOCKS // 2}),
@@ -139,9 +140,9 @@ def cscv_rank_histogram(spark, sf_dir):
     return cscv_splits(spark, sf_dir).groupBy("rank").agg(F.count("*").alias("n"))
 
 
-# covariance: brands over the last 120 weeks of two as-of dates
+# covariance: brands over the last 120 weeks of every fortieth week
 
-COV_SQL = f"""{BW}, cw AS (SELECT e.e AS as_of, pos, asset, ret FROM (SELECT unnest([200, 320]) AS e) e JOIN rets ON pos BETWEEN e.e - 119 AND e.e),
+COV_SQL = f"""{BW}, cw AS (SELECT e.e AS as_of, pos, asset, ret FROM (SELECT pos AS e FROM calendar WHERE pos >= 120 AND pos % 40 = 0) e JOIN rets ON pos BETWEEN e.e - 119 AND e.e),
 cc AS (SELECT as_of, pos FROM cw GROUP BY 1, 2 HAVING count(ret) = (SELECT count(DISTINCT asset) FROM panel)),
 cx AS (SELECT as_of, pos, asset, ret - avg(ret) OVER (PARTITION BY as_of, asset) AS x FROM cw JOIN cc USING (as_of, pos)),
 pm AS (SELECT a.as_of, a.asset AS i, b.asset AS j, count(*) AS t, sum(a.x * b.x) / (count(*) - 1) AS cov, avg(a.x * b.x) AS s, avg(a.x * b.x * a.x * b.x) AS m22, avg(a.x * a.x * a.x * b.x) AS m31 FROM cx a JOIN cx b ON a.as_of = b.as_of AND a.pos = b.pos GROUP BY 1, 2, 3),
@@ -153,8 +154,9 @@ de AS (SELECT as_of, CASE WHEN gamma <= 0 THEN 0 ELSE least(greatest((pi - rho)
 
 
 def cov_pairs(spark, sf_dir):
-    spread = spark.createDataFrame([(e, p) for e in (200, 320) for p in range(e - 119, e + 1)], "as_of int, pos int")
-    rows = weeks(spark, sf_dir).join(F.broadcast(spread), "pos").select("as_of", "pos", "asset", "ret")
+    panel = weeks(spark, sf_dir)
+    spread = P.calendar(panel).where("pos >= 120 AND pos % 40 = 0").select(F.col("pos").alias("as_of"), F.explode(F.sequence(F.col("pos") - 119, F.col("pos"))).alias("pos"))
+    rows = panel.join(F.broadcast(spread), "pos").select("as_of", "pos", "asset", "ret")
     return materialize(R.pair_moments(R.complete_case(materialize(rows, "window"), "as_of"), "as_of"), "pairs")
 
 
@@ -212,11 +214,23 @@ def paired_sq_diff(spark, sf_dir):
 
 
 def summary_statistics(spark, sf_dir):
-    """One row a configuration with its probabilistic Sharpe ratio: finished on the driver from nine rows of moments."""
-    rows = PF.moments(PF.aligned(config_matrix(spark, sf_dir), len(GRID)), "config").collect()
+    """One row a configuration with its probabilistic and deflated Sharpe ratios, by days and by the days that its series is worth, and the share of splits that overfit: finished on the driver from nine rows."""
+    matrix = materialize(PF.aligned(config_matrix(spark, sf_dir), len(GRID)), "configs")
+    rows = PF.moments(matrix, "config").collect()
+    series = matrix.select("config", "t", F.col("r").alias("x"))
+    iid = {r["config"]: r["se"] for r in I.newey_west(series, "t", "config", lag=0).collect()}
+    hac = {r["config"]: r["se"] for r in I.newey_west(series, "t", "config").collect()}
+    share = PF.pbo(PF.cscv(matrix, rows[0]["n"], len(GRID), BLOCKS, 4), len(GRID)).first()["pbo"]
     var = sum((r["sharpe"] - sum(x["sharpe"] for x in rows) / len(rows)) ** 2 for r in rows) / max(len(rows) - 1, 1)
-    out = [(r["config"], *GRID[r["config"]], r["n"], r["sharpe"], r["sharpe"] * math.sqrt(252), PF.probabilistic_sharpe(r["sharpe"], r["n"], r["skew"], r["kurt"]), PF.deflated_sharpe(r["sharpe"], r["n"], r["skew"], r["kurt"], len(rows), var)) for r in rows]
-    return spark.createDataFrame(out, "config int, lookback int, horizon int, n_days long, sharpe double, ann_sharpe double, psr double, dsr double")
+    out = []
+    for r in rows:
+        c, one = r["config"], (r["sharpe"], r["n"], r["skew"], r["kurt"])
+        t_eff = PF.effective_length(r["n"], iid[c], hac[c]) if hac[c] else float(r["n"])
+        out.append((
+            c, *GRID[c], r["n"], r["sharpe"], r["sharpe"] * math.sqrt(252), PF.probabilistic_sharpe(*one), PF.deflated_sharpe(*one, len(rows), var), t_eff,
+            PF.probabilistic_sharpe(*one, t_eff=t_eff), PF.deflated_sharpe(*one, len(rows), var, t_eff), share,
+        ))
+    return spark.createDataFrame(out, "config int, lookback int, horizon int, n_days long, sharpe double, ann_sharpe double, psr double, dsr double, t_eff double, psr_t_eff double, dsr_t_eff double, pbo double")
 
 
 @register("overfit_summary")

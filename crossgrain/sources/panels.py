@@ -86,6 +86,39 @@ def read_market(spark: SparkSession, path: str) -> DataFrame:
     return dense_grid(spark.read.parquet(path).select(F.col("d").cast("date").alias("d"), "asset", F.nanvl("px", F.lit(None).cast("double")).alias("px"), "volume"))
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether `path` is there, in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def load_market(spark: SparkSession, path: str | None = None, synthetic: bool = False, allow_synthetic: bool = False, benchmark: str | None = None) -> tuple[DataFrame, DataFrame | None, bool]:
+    """(panel, market return of `benchmark` by d or None, whether the panel is synthetic).
+
+    `synthetic` asks for the generator. A path that is not there raises, unless `allow_synthetic` lets the generator
+    stand in; the flag then says so. The benchmark is no asset of the panel.
+    """
+    from crossgrain.operators import synthetic as Y
+
+    if not synthetic and not (path and path_exists(spark, path)):
+        if not allow_synthetic:
+            raise FileNotFoundError(f"no market at {path}, and no synthetic one is allowed")
+        synthetic = True
+    panel = dense_grid(Y.to_panel(spark, Y.factor_market(300, 24, 4)).drop("pos")) if synthetic else read_market(spark, path)
+    if benchmark is None:
+        return panel, None, synthetic
+    market = with_returns(panel.where(F.col("asset") == benchmark)).select("d", F.col("ret").alias("mkt_ret"))
+    return panel.where(F.col("asset") != benchmark), market, synthetic
+
+
+def cached_market(spark: SparkSession, folder: str, key: str, make) -> DataFrame:
+    """The panel (d, asset, px, volume) of `key` below `folder`; `make()` is called and written where it is not there yet."""
+    path = f"{folder.rstrip('/')}/{key}.parquet"
+    if not path_exists(spark, path):
+        make().select("d", "asset", "px", "volume").write.parquet(path)
+    return read_market(spark, path)
+
+
 def manifest(panel: DataFrame) -> dict:
     """Dates, shape and assets of a panel, for a drift check beside its content hash."""
     r = panel.agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count_distinct("d").alias("dates"), F.count_distinct("asset").alias("assets")).first()

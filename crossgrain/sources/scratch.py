@@ -2,8 +2,8 @@
 
 A table written here cuts the lineage: what follows rereads it from shared storage, so a lost
 executor costs a reread of its part and nothing before it. The folder is the one that the session
-names in `spark.checkpoint.dir`; only a session without that setting (tests, local runs) gets a
-folder below /tmp.
+names in `spark.checkpoint.dir`; only a local session without that setting (tests) gets a folder below /tmp,
+any other is refused.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder; sets one where the session has none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder, and executors do not share a local one")
         found = LOCAL_FALLBACK
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -179,3 +179,40 @@ def test_train_validation_gap(spark):
     train, valid = S.train_validation(spark.range(10).withColumnRenamed("id", "pos"), 10, 0.8, 2)
     assert [r[0] for r in train.collect()] == [0, 1, 2, 3, 4, 5] and [r[0] for r in valid.collect()] == [8, 9]
     assert S.purge_steps(5, 1) == 5 and S.purge_steps(5, 21) == 1 and S.purge_steps(5, 5, 3) == 3
+
+
+def test_market_loading_is_loud(spark, tmp_path):
+    from crossgrain.operators import synthetic as Y
+    from crossgrain.operators import universe as U
+    from crossgrain.sources import panels as P
+
+    with pytest.raises(FileNotFoundError):
+        P.load_market(spark, f"{tmp_path}/none")
+    panel, market, made = P.load_market(spark, f"{tmp_path}/none", allow_synthetic=True, benchmark="A000")
+    assert made and panel.where("asset = 'A000'").count() == 0 and market.columns == ["d", "mkt_ret"]
+    calls = []
+
+    def make():
+        calls.append(1)
+        return Y.to_panel(spark, Y.noise_market(30, 4))
+
+    one, two = (P.cached_market(spark, str(tmp_path), "key", make) for _ in range(2))
+    assert calls == [1] and one.count() == two.count() == 120 and P.load_market(spark, f"{tmp_path}/key.parquet")[2] is False
+    known = P.manifest(one) | {"digest": U.content_hash(one).first()["digest"]}
+    assert U.verify(two, known) == [] and len(U.verify(two.where("asset <> 'A001'"), known)) == 2
+
+
+def test_dimension_tables(spark, tmp_path):
+    from crossgrain.operators import universe as U
+
+    (tmp_path / "map.csv").write_text("ticker,cusip\nAAA,001\nBBB,002\n")
+    (tmp_path / "bad.csv").write_text("ticker,cusip\nAAA,001\nBBB,001\n")
+    (tmp_path / "universe.csv").write_text("asset,sector\nB,Energy\nA,\nB,Other\nC,Tech\n")
+    assert {tuple(r) for r in U.identifier_map(spark, f"{tmp_path}/map.csv").collect()} == {("001", "AAA"), ("002", "BBB")}
+    with pytest.raises(ValueError):
+        U.identifier_map(spark, f"{tmp_path}/bad.csv")
+    assert [tuple(r) for r in U.read_universe(spark, f"{tmp_path}/universe.csv").orderBy("place").collect()] == [("B", "Energy", 0), ("A", "other", 1), ("C", "Tech", 2)]
+    assert U.ordered_universe(["B", "A"], ["A", "C"]) == ["B", "A", "C"]
+    assert U.snapshot_table(spark, [("2020-12-31", "2021-02-15")]).count() == 1
+    with pytest.raises(ValueError):
+        U.snapshot_table(spark, [("2020-12-31", "2020-11-15")])

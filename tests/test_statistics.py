@@ -39,7 +39,7 @@ def test_hac_equals_kernel_and_controls_size(spark):
     x += 0.05
     df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "key string, d int, x double")
     row = I.newey_west(df, "d", "key").first()
-    assert row["t"] == pytest.approx(RS.hac_t(x))
+    assert row["se"] == pytest.approx(RS.hac_se(x[None, :])[0])
     naive = x.mean() / (x.std(ddof=1) / math.sqrt(400))
     assert abs(row["t"]) < abs(naive)
 
@@ -69,9 +69,29 @@ def test_bootstrap_covers_and_repeats(spark):
     assert a == b and a["lo"] < 0.3 < a["hi"]
 
 
-def test_power_is_size_at_no_effect_and_grows(spark):
-    null, strong = (RS.simulated_power(spark, e, 100, 0.1, 0.0, n_sims=150) for e in (0.0, 0.06))
-    assert null < 0.15 and strong > 0.9
+def test_power_is_size_at_no_effect_and_grows():
+    curve = RS.PowerCurve(100, 0.1, 0.0)
+    assert curve.power(0.0) < 0.1 and curve.power(0.06) > 0.9 and RS.PowerCurve(100, 0.1, 0.5).power(0.03) < curve.power(0.03)
+    mde = curve.detectable()
+    assert curve.power(mde) >= 0.8 > curve.power(mde - 1e-3) and mde == pytest.approx(2.8 * 0.1 / 10, rel=0.1)
+    with pytest.warns(UserWarning):
+        assert RS.PowerCurve(10, 1.0, 0.0).detectable() == 0.2
+
+
+def test_detectable_effects_of_series(spark):
+    df = spark.createDataFrame([("a", 100, 0.1, 0.0), ("b", 100, 1e-4, 0.0), ("c", 2, 0.1, 0.0), ("d", None, None, None)], "key string, n long, sd double, phi double")
+    got = {r["key"]: r["mde_80"] for r in RS.with_detectable(df, "n", "sd", "phi").collect()}
+    assert got["a"] == pytest.approx(0.028, rel=0.15) and got["b"] < 1e-4 and got["c"] is None and got["d"] is None
+    assert RS.with_detectable(df.limit(1), "n", "sd", "phi", "mde", scale_cap=True).first()["mde"] == pytest.approx(got["a"], rel=1e-3)
+
+
+def test_significance_of_a_correlated_series(spark):
+    rng, x = np.random.default_rng(4), np.zeros(300)
+    for t in range(1, 300):
+        x[t] = 0.6 * x[t - 1] + rng.normal()
+    rows = [("noise", i, float(v)) for i, v in enumerate(rng.normal(0.2, 1, 300))] + [("slow", i, float(v) + 0.3) for i, v in enumerate(x)]
+    got = {r["key"]: r for r in PF.series_significance(spark.createDataFrame(rows, "key string, d int, x double"), "d", "key").collect()}
+    assert got["noise"]["ic_psr"] > 0.95 and got["slow"]["t_eff"] < 150 < got["noise"]["t_eff"]
 
 
 def test_sharpe_statistics():
