@@ -14,7 +14,9 @@ anchors wherever they are, and neighbouring windows mostly share theirs.
 4. Documents are dealt into shards of bounded text, by their smallest anchor, which copies mostly share;
    those of an anchor with more text than a shard are dealt into several. A shard gets the passages that
    hold a confirmed anchor of one of its documents, each once, and compiles an Aho-Corasick automaton of
-   their anchor phrases (pyahocorasick, over word numbers). All its documents stream through it. Windows
+   their anchor phrases (pyahocorasick, over word numbers). All its documents stream through it. Passages of
+   more than `chunk_bytes` are dealt into several automata, each for all documents of the shard, whose removals
+   are joined by row. Windows
    around a hit are looked up among the windows of the passages, the smallest owner first, and compared
    with that word by word, so what is removed does recur; hashes only decide where to look.
 
@@ -47,6 +49,8 @@ PHRASE = 16
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
 #: Characters of text in a shard.
 SHARD_CHARS = 4_000_000
+#: Bytes of passages in an automaton.
+CHUNK_BYTES = 16_000_000
 #: Rows of a table with no more rows than shards that are broadcast.
 MOST_BROADCAST = 100_000
 _ODD = np.random.default_rng(977).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -274,28 +278,58 @@ class PhraseAutomaton:
         return np.cumsum(cover[:-1]) > 0
 
 
-def dedup_shards(texts: DataFrame, passages: DataFrame, window: int, phrase: int, with_text: bool) -> DataFrame:
-    """Streams the rows of `texts` (shard, doc_id, text) through the automaton of their shard's `passages` (shard, owner, passage)."""
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
+DONE = "row long, doc_id long, n_words long, n_removed long, kept_sha256 string, runs binary"
+_DONE = DONE.replace(" long", "").replace(" string", "").replace(" binary", "").split(", ")
+
+
+def dedup_shards(texts: DataFrame, passages: DataFrame, window: int, phrase: int) -> DataFrame:
+    """Streams the rows of `texts` (shard, chunk, parts, row, doc_id, text) through the automaton of their shard's chunk of `passages` (shard, chunk, owner, passage).
+
+    Where a shard has one chunk, n_removed and kept_sha256; else runs, the (start, stop) of what this chunk removes as 32-bit integers.
+    """
 
     def streamed(left, right):
         import pyarrow as pa
 
         automaton = PhraseAutomaton([(o, p.split()) for o, p in zip(right["owner"].to_pylist(), right["passage"].to_pylist(), strict=True)], window, phrase)
         rows = []
-        for doc_id, text in zip(left["doc_id"].to_pylist(), left["text"], strict=True):
+        for row, doc_id, parts, text in zip(left["row"].to_pylist(), left["doc_id"].to_pylist(), left["parts"].to_pylist(), left["text"], strict=True):
             words = _split(text.as_py())
             gone = automaton.removed(doc_id, words)
-            kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-            rows.append((doc_id, len(words), int(gone.sum()), _kept_hash(kept), *([b" ".join(kept).decode()] if with_text else [])))
-        names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        return pa.table([pa.array([r[i] for r in rows], kinds[i]) for i in range(len(names))], names)
+            if parts > 1:
+                rows.append((row, doc_id, len(words), None, None, np.array(_runs(gone), np.int32).tobytes()))
+            else:
+                rows.append((row, doc_id, len(words), int(gone.sum()), _kept_hash([w for w, g in zip(words, gone.tolist(), strict=True) if not g]), None))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], _DONE)
+
+    return texts.groupBy("shard", "chunk").cogroup(passages.groupBy("shard", "chunk")).applyInArrow(streamed, DONE)
+
+
+def joined_runs(texts: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of rows of `texts` (doc_id, text, each: the runs of every chunk)."""
+
+    def finished(batches):
+        import pyarrow as pa
+
+        for part in pieces(batches, "text"):
+            rows = []
+            for doc_id, text, each in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), part.column("each").to_pylist(), strict=True):
+                words = _split(text)
+                cover = np.zeros(len(words) + 1, np.int64)
+                for runs in each:
+                    at = np.frombuffer(runs, np.int32)
+                    np.add.at(cover, at[::2], 1)
+                    np.add.at(cover, at[1::2], -1)
+                gone = np.cumsum(cover[:-1]) > 0
+                rows.append((doc_id, len(words), int(gone.sum()), _kept_hash([w for w, g in zip(words, gone.tolist(), strict=True) if not g])))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _DONE[1:5])
 
-    return texts.groupBy("shard").cogroup(passages.groupBy("shard")).applyInArrow(streamed, schema)
+    return texts.select("doc_id", "text", "each").mapInArrow(finished, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, bits: int | None = None, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, bits: int | None = None, shard_chars: int = SHARD_CHARS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     every = document_anchors(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, phrase)
@@ -303,7 +337,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     shared = materialize(shared, "substring-shared")
     bits = bits or min(max(1 << (BITS_EACH * shared.count()).bit_length(), LEAST_BITS), MOST_BITS)
     cells = spark.sparkContext.broadcast(bitmap(shared, bits))
-    table_ = materialize(with_candidates(docs, cells, window, phrase), "substring-documents")
+    table_ = materialize(with_candidates(docs, cells, window, phrase).withColumn("row", F.monotonically_increasing_id()), "substring-documents")
     done = table_.where("text IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     candidates = table_.where("text IS NOT NULL")
     chars = candidates.agg(F.sum(F.length("text")).alias("n")).first()["n"]
@@ -322,12 +356,25 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     # no more rows than shards
     dealt = candidates.withColumn("family", family).join(F.broadcast(large) if shards <= MOST_BROADCAST else large, "family", "left")
     part = F.pmod(F.xxhash64("doc_id", "n_words"), F.coalesce("parts", F.lit(1)))
-    dealt = dealt.select(F.pmod(F.xxhash64("family", part), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text", "anchors")
+    dealt = dealt.select(F.pmod(F.xxhash64("family", part), F.lit(shards)).cast("int").alias("shard"), "row", "doc_id", "text", "anchors")
     asked = materialize(dealt.select("shard", "doc_id", F.explode("anchors").alias("anchor")).groupBy("shard", "anchor").agg(F.max("doc_id").alias("last")), "substring-asked")
     phrases = materialize(passages.select("passage_id", "owner", F.explode("anchors").alias("anchor")), "substring-phrases")
     routes = materialize(asked.join(phrases, "anchor").where("owner < last").select("shard", "passage_id").distinct(), "substring-routes")
-    routed = routes.join(passages, "passage_id").select("shard", "owner", "passage")
-    return done.unionByName(dedup_shards(dealt.select("shard", "doc_id", "text"), routed, window, phrase, False))
+    routed = routes.join(passages, "passage_id").select("shard", "passage_id", "owner", "passage")
+    # an anchor that very many passages hold gives its shards more of these than one automaton should have
+    sizes = routes.join(passages.select("passage_id", F.octet_length("passage").alias("n")), "passage_id").groupBy("shard").agg(F.sum("n").alias("n"))
+    many = materialize(sizes.where(F.col("n") > chunk_bytes).select("shard", F.ceil(F.col("n") / chunk_bytes).cast("int").alias("parts")), "substring-chunks")
+    one = F.coalesce("parts", F.lit(1))
+    wide = F.broadcast(many) if shards <= MOST_BROADCAST else many
+    routed = routed.join(wide, "shard", "left").select("shard", F.pmod(F.xxhash64("passage_id"), one).cast("int").alias("chunk"), "owner", "passage")
+    texts = dealt.select("shard", "row", "doc_id", "text").join(wide, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), one - 1)).alias("chunk"), one.alias("parts"), "row", "doc_id", "text")
+    out = dedup_shards(texts, routed, window, phrase)
+    if not many.isEmpty():
+        out = materialize(out, "substring-runs")
+        each = out.where("runs IS NOT NULL").groupBy("row").agg(F.collect_list("runs").alias("each"))
+        done = done.unionByName(joined_runs(candidates.select("row", "doc_id", "text").join(each, "row")))
+        out = out.where("runs IS NULL")
+    return done.unionByName(out.select("doc_id", "n_words", "n_removed", "kept_sha256"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,8 +217,8 @@ def test_substrings_of_odd_documents(odd_docs, odd_rows, no_docs):
     assert P.dedup_substrings(no_docs, bits=1 << 16).count() == 0
 
 
-@pytest.mark.parametrize(("bits", "chars"), [(1 << 16, 4_000_000), (64, 3000)])  # a full bitmap and many shards change nothing
-def test_substrings_of_planted_passages(spark, bits, chars):
+@pytest.mark.parametrize(("bits", "chars", "chunk"), [(None, 4_000_000, 16_000_000), (64, 3000, 16_000_000), (1 << 16, 3000, 1500)])  # a full bitmap, many shards and many automata change nothing
+def test_substrings_of_planted_passages(spark, bits, chars, chunk):
     r, rows = random.Random(8), []
     passages = [prose(k, 200 + k).split() for k in (49, 50, 51, 90, 180)]
     for d in range(60):
@@ -236,7 +236,7 @@ def test_substrings_of_planted_passages(spark, bits, chars):
         rows.append((d, " \n".join(w)))
     rows += [(200, "la " * 130), (201, "la " * 70), (202, " ".join(["x", "y"] * 60)), (200, "la " * 90)]
     r.shuffle(rows)
-    got = P.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bits=bits, shard_chars=chars)
+    got = P.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), bits=bits, shard_chars=chars, chunk_bytes=chunk)
     assert canonical(tuple(x) for x in got.collect()) == canonical(slow_dedup(rows))
 
 
