@@ -3,6 +3,10 @@
 Each stage is (name, function of (spark, docs, sf_dir)), takes all that the one before kept and calls one
 operator. All but the last return the columns of documents; `run` writes each stage's result to the shared
 folder and rereads it, so that a lost executor costs no more than a part of one stage.
+
+Defined results: every stage takes rows as they come, repeated ones and those without a doc_id included; an empty
+table gives an empty result with the stage's columns; columns beyond doc_id and text pass through all stages
+but the last whatever their names; empty and very long texts are texts like any other.
 """
 
 from __future__ import annotations
@@ -21,27 +25,27 @@ NEAR_JACCARD = 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from `labels`."""
+    """Documents that the quality classifier accepts; it learns from `labels`. A null text is scored as an empty one."""
     return quality_classifier.accept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near copies."""
+    """The document of the smallest doc_id of each group of near copies; of repeated rows of a doc_id one, and all rows without one. Null and empty texts are copies of each other."""
     return simhash.keep_first(docs, word_set_seeds=NEAR_SEEDS, least_jaccard=NEAR_JACCARD)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no item of `benchmark`."""
+    """Documents that overlap no item of `benchmark`; null and empty texts overlap with none."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked in their texts."""
+    """All documents, with secrets masked in their texts; a null text stays null, and n_chars, where there is one, is that of the new text."""
     return secret_scan.redact_secrets(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and token_ids of every document."""
+    """doc_id, n_tokens and token_ids of every row; a null text has no ids."""
     tokens = byte_bpe.ids_as_arrays(byte_bpe.encode(docs.select("doc_id", "text"), chars_at_once=1 << 20, cache_words=150_000).select("doc_id", "token_ids"))
     return tokens.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
 
