@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from crossgrain.functions import cross_section as X
 from crossgrain.operators import features as FE
 from crossgrain.operators import models as M
 from crossgrain.operators import synthetic as Y
 from crossgrain.plans import experiments as E
 from crossgrain.plans.catalog import register
-from crossgrain.plans.graph_queries import asofs
-from crossgrain.plans.panel_queries import months
+from crossgrain.plans.graph_queries import ASOF, CORR_SQL, asofs
+from crossgrain.plans.panel_queries import BW, W_ASSET, months
+from crossgrain.plans.portfolio_queries import BOOK_SQL
 from crossgrain.sources import panels as P
 from crossgrain.sources.scratch import materialize
 
@@ -29,6 +33,52 @@ def x_ablation(spark, sf_dir):
     return E.ablation(weeks(spark, sf_dir), P.brand_sectors(spark, sf_dir))
 
 
+#: The studies' graphs: the five strongest correlations of sixty weeks, as of every fifth week.
+WEEKLY_SQL = CORR_SQL.replace(ASOF, "pos >= 64 AND (pos - 64) % 5 = 0").replace("rn <= 10", "rn <= 5")
+
+
+def _ics_sql(pairs):
+    """Rank correlations of (signal, source, value, label), one table under another."""
+    tables, rows = [], []
+    for k, (name, source, value, label) in enumerate(pairs):
+        tables.append(X.rank_ic_sql(source, value, label, "as_of").replace("ranked_ic", f"ranked_{k}").replace("ic_series", f"series_{k}"))
+        rows.append(f"SELECT '{name}' AS signal, as_of AS d, round(ic, 6) + 0.0 AS ic FROM series_{k}")
+    return ", ".join(tables), " UNION ALL ".join(rows)
+
+
+LEADLAG_SQL = f"""{WEEKLY_SQL}, base AS (SELECT d AS as_of, asset, coalesce(product(1 + ret) OVER {W_ASSET} ROWS 4 PRECEDING), 1) - 1 AS own, lead(px, 5) OVER {W_ASSET}) / px - 1 AS fwd FROM rets),
+sg AS (SELECT k.as_of, src AS asset, sum(abs(weight) * own) / nullif(sum(abs(weight)), 0) AS sig FROM knn k JOIN base b ON b.as_of = k.as_of AND b.asset = dst GROUP BY 1, 2),
+sj AS (SELECT sg.as_of, sg.asset, sig, own, fwd, CASE WHEN fwd IS NOT NULL THEN own END AS oo FROM sg JOIN base USING (as_of, asset)),
+sl AS (SELECT *, CASE WHEN count(fwd) OVER w < 3 THEN fwd ELSE fwd - avg(fwd) OVER w - coalesce(covar_pop(fwd, oo) OVER w / nullif(var_pop(oo) OVER w, 0), 0) * (oo - avg(oo) OVER w) END AS leftover FROM sj WINDOW w AS (PARTITION BY as_of))"""
+LEADLAG_ICS = _ics_sql([("leadlag", "sl", "sig", "fwd"), ("leadlag_resid", "sl", "sig", "leftover"), ("own_mom", "sl", "own", "fwd")])
+SPILL_SQL = f"""{WEEKLY_SQL}, v0 AS (SELECT d AS as_of, asset, CASE WHEN count(ret) OVER s = 20 THEN stddev_samp(ret) OVER s END AS own_s, CASE WHEN count(ret) OVER l = 60 THEN stddev_samp(ret) OVER l END AS own_l,
+  CASE WHEN count(ret) OVER f = 5 THEN stddev_samp(ret) OVER f END AS fwd FROM rets WINDOW s AS {W_ASSET} ROWS 19 PRECEDING), l AS {W_ASSET} ROWS 59 PRECEDING), f AS {W_ASSET} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
+vb AS (SELECT *, own_s - own_l AS innov FROM v0),
+vs AS (SELECT k.as_of, src AS asset, sum(CASE WHEN innov IS NOT NULL THEN abs(weight) * innov END) / nullif(sum(CASE WHEN innov IS NOT NULL THEN abs(weight) END), 0) AS sig FROM knn k JOIN vb b ON b.as_of = k.as_of AND b.asset = dst WHERE innov IS NOT NULL GROUP BY 1, 2),
+vn AS (SELECT k.as_of, src AS asset, sum(abs(weight) * own_s) / nullif(sum(abs(weight)), 0) AS sig FROM knn k JOIN vb b ON b.as_of = k.as_of AND b.asset = dst WHERE own_s IS NOT NULL GROUP BY 1, 2),
+vj AS (SELECT vs.as_of, vs.asset, sig, own_s, own_l, fwd FROM vs JOIN vb USING (as_of, asset)),
+vx AS (SELECT as_of, count(*) AS n, avg(fwd) AS my, avg(own_s) AS ma, avg(own_l) AS mb, var_pop(own_s) AS saa, var_pop(own_l) AS sbb, covar_pop(own_s, own_l) AS sab, covar_pop(own_s, fwd) AS say, covar_pop(own_l, fwd) AS sby FROM vj WHERE fwd IS NOT NULL AND own_s IS NOT NULL AND own_l IS NOT NULL GROUP BY 1),
+vl AS (SELECT vj.*, CASE WHEN n >= 4 AND own_s IS NOT NULL AND own_l IS NOT NULL THEN fwd - my - (say * sbb - sby * sab) / (saa * sbb - sab * sab) * (own_s - ma) - (sby * saa - say * sab) / (saa * sbb - sab * sab) * (own_l - mb) END AS leftover FROM vj LEFT JOIN vx USING (as_of)),
+vk AS (SELECT vn.as_of, vn.asset, sig, own_s, fwd, CASE WHEN fwd IS NOT NULL THEN own_s END AS oo, CASE WHEN own_s IS NOT NULL THEN fwd END AS yy FROM vn JOIN vb USING (as_of, asset)),
+vm AS (SELECT *, CASE WHEN count(yy) OVER w < 3 THEN fwd ELSE yy - avg(yy) OVER w - coalesce(covar_pop(yy, oo) OVER w / nullif(var_pop(oo) OVER w, 0), 0) * (oo - avg(oo) OVER w) END AS leftover FROM vk WINDOW w AS (PARTITION BY as_of))"""
+SPILL_ICS = _ics_sql([("spill_raw", "vl", "sig", "fwd"), ("spill_resid", "vl", "sig", "leftover"), ("own_vol", "vl", "own_s", "fwd")])
+PROBE_ICS = _ics_sql([("naive", "vm", "sig", "leftover"), ("innov", "vl", "sig", "leftover")])
+
+
+@register("leadlag_ic_series", f"WITH {LEADLAG_SQL}, {LEADLAG_ICS[0]} {LEADLAG_ICS[1]}")
+def leadlag_ic_series(spark, sf_dir):
+    """The series that the lead-lag study tests, over real edges."""
+    panel = weeks(spark, sf_dir)
+    return E.leadlag_series(materialize(E.momenta(panel), "returns"), weekly_edges(panel), "real").select("signal", "d", F.round("x", 6).alias("ic"))
+
+
+@register("volspill_ic_series", f"WITH {SPILL_SQL}, {SPILL_ICS[0]} {SPILL_ICS[1]}")
+def volspill_ic_series(spark, sf_dir):
+    """The series that the spillover study tests, over real edges."""
+    panel = weeks(spark, sf_dir)
+    return E.spillover_series(materialize(E.volatilities(panel, 20, 60, 5), "volatility"), weekly_edges(panel), "real").select("signal", "d", F.round("x", 6).alias("ic"))
+
+
 @register("x_leadlag")
 def x_leadlag(spark, sf_dir):
     panel = weeks(spark, sf_dir)
@@ -41,10 +91,10 @@ def x_volspill(spark, sf_dir):
     return E.volatility_spillover(panel, weekly_edges(panel))
 
 
-@register("x_confound_probe")
+@register("x_confound_probe", f"WITH {SPILL_SQL}, {PROBE_ICS[0]} SELECT round(avg(ic) FILTER (signal = 'naive'), 5) + 0.0 AS naive_ic, round(avg(ic) FILTER (signal = 'innov'), 5) + 0.0 AS innov_ic FROM ({PROBE_ICS[1]})")
 def x_confound_probe(spark, sf_dir):
     panel = weeks(spark, sf_dir)
-    return E.confound_probe(panel, weekly_edges(panel))
+    return E.confound_probe(panel, weekly_edges(panel)).select(F.round("naive_ic", 5).alias("naive_ic"), F.round("innov_ic", 5).alias("innov_ic"))
 
 
 @register("x_positive_controls")
@@ -57,9 +107,28 @@ def x_liquidity(spark, sf_dir):
     return E.liquidity_conditioning(months(spark, sf_dir), rows=12)
 
 
-@register("x_costs")
+def _costs_sql():
+    """The books of all controls, one table under another."""
+    tables, rows = [], []
+    for k, (name, lookback, horizon, sign, skip) in enumerate(E.CONTROLS):
+        w, start = W_ASSET, lookback + skip
+        signal = f"""signals AS (SELECT d, pos, asset, {sign} * (lag(px, {skip}) OVER {w}) / lag(px, {skip + lookback}) OVER {w}) - 1) AS sig, lead(px, {horizon}) OVER {w}) / px - 1 AS fwd, lead(pos, {horizon}) OVER {w}) AS ahead FROM panel),
+picked AS (SELECT * FROM signals WHERE ahead IS NOT NULL AND pos >= {start} AND (pos - {start}) % {horizon} = 0)"""
+        book = BOOK_SQL.replace("FROM signals", "FROM picked")
+        net = "bn AS (SELECT gross, turnover, row_number() OVER (ORDER BY d) AS rn FROM book), nt AS (SELECT gross, turnover, c AS cost_bps, gross - turnover * c / 1e4 AS net FROM bn, (SELECT unnest([1.0, 5.0, 10.0]) :: DOUBLE AS c) WHERE rn > 1)"
+        sql = f"{signal}, {book}, {net}"
+        for n in ("signals", "picked", "pr", "pk", "pl", "pw", "pt", "book", "bn", "nt"):
+            sql = re.sub(rf"\b{n}\b(?= AS \(| WHERE|\)|,| GROUP|$)", f"{n}_{k}", sql) if n in ("signals", "picked", "book", "bn", "nt") else re.sub(rf"\b{n}\b", f"{n}_{k}", sql)
+        tables.append(sql)
+        rows.append(f"""SELECT '{name}' AS signal, cost_bps, round(avg(gross) * 1e4, 4) AS gross_mean_bps, round(avg(turnover), 6) AS turnover, round(avg(gross) / nullif(avg(turnover), 0) * 1e4, 4) AS breakeven_bps,
+round(avg(gross) / nullif(stddev_samp(gross), 0) * sqrt(252.0), 5) AS sharpe_gross, round(avg(net) * 1e4, 4) AS net_mean_bps, round(avg(net) / nullif(stddev_samp(net), 0) * sqrt(252.0), 5) AS sharpe_net FROM nt_{k} GROUP BY cost_bps""")
+    return f"WITH {BW}, {', '.join(tables)} {' UNION ALL '.join(rows)}"
+
+
+@register("x_costs", _costs_sql())
 def x_costs(spark, sf_dir):
-    return E.cost_table(weeks(spark, sf_dir))
+    digits = {"gross_mean_bps": 4, "breakeven_bps": 4, "net_mean_bps": 4, "turnover": 6, "sharpe_gross": 5, "sharpe_net": 5}
+    return E.cost_table(weeks(spark, sf_dir)).select("signal", "cost_bps", *[F.round(c, k).alias(c) for c, k in digits.items()])
 
 
 @register("x_vol_robustness")

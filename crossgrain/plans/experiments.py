@@ -124,19 +124,28 @@ def leadlag(panel: DataFrame, edges: DataFrame, lookback: int = 5, horizon: int
 
     `edges` has an as_of for each date to score; rewired edges are the null, own momentum alone the yardstick.
     """
-    base = materialize(panel.select(F.col("d").alias("as_of"), "asset", FE.trailing_return(lookback).alias("own"), FE.forward_return(horizon).alias("fwd")), "returns")
-    ics = None
-    for kind, graphs in (("real", [edges]), ("rewire", [G.degree_preserving_rewire(edges, s) for s in seeds])):
-        for seed, e in enumerate(graphs):
-            sig = N.weighted_neighbour_mean(e, base, "own").withColumnRenamed("nbr", "sig").join(base, ["as_of", "asset"])
-            sig = materialize(sig.withColumn("left", FE.residual("fwd", "own", "as_of")), "signals")
-            pairs = [(kind, "leadlag", "sig", "fwd"), (kind, "leadlag_resid", "sig", "left"), *([("none", "own_mom", "own", "fwd")] if kind == "real" else [])]
-            ics = _with_series(ics, sig, pairs, seed)
+    base = materialize(momenta(panel, lookback, horizon), "returns")
+    ics = leadlag_series(base, edges, "real")
+    for seed, s in enumerate(seeds):
+        ics = ics.unionByName(leadlag_series(base, G.degree_preserving_rewire(edges, s), "rewire", seed))
     return seeded(ics, "edges <> 'real'")
 
 
-def _with_series(ics: DataFrame | None, sig: DataFrame, pairs: list[tuple[str, str, str, str]], seed: int) -> DataFrame:
-    """`ics` and, for each (edges, signal, value, label) of `pairs`, the rank correlation by date."""
+def momenta(panel: DataFrame, lookback: int = 5, horizon: int = 5) -> DataFrame:
+    """as_of, asset, own (trailing return) and fwd (forward return)."""
+    return panel.select(F.col("d").alias("as_of"), "asset", FE.trailing_return(lookback).alias("own"), FE.forward_return(horizon).alias("fwd"))
+
+
+def leadlag_series(base: DataFrame, edges: DataFrame, kind: str, seed: int = 0) -> DataFrame:
+    """edges, signal, seed, d, x: the lead-lag signal against the forward return and against what own momentum leaves of it and, for real edges, own momentum."""
+    sig = N.weighted_neighbour_mean(edges, base, "own").withColumnRenamed("nbr", "sig").join(base, ["as_of", "asset"])
+    sig = materialize(sig.withColumn("left", FE.residual("fwd", "own", "as_of")), "signals")
+    return _series(sig, [(kind, "leadlag", "sig", "fwd"), (kind, "leadlag_resid", "sig", "left"), *([("none", "own_mom", "own", "fwd")] if kind == "real" else [])], seed)
+
+
+def _series(sig: DataFrame, pairs: list[tuple[str, str, str, str]], seed: int) -> DataFrame:
+    """edges, signal, seed, d, x: for each (edges, signal, value, label) of `pairs` the rank correlation by date."""
+    ics = None
     for edges, name, value, label in pairs:
         ic = X.rank_ic(sig, value, label, "as_of").select(F.lit(edges).alias("edges"), F.lit(name).alias("signal"), F.lit(seed).alias("seed"), F.col("as_of").alias("d"), F.col("ic").alias("x"))
         ics = ic if ics is None else ics.unionByName(ic)
@@ -153,16 +162,19 @@ def volatilities(panel: DataFrame, short: int, level: int, horizon: int) -> Data
 def volatility_spillover(panel: DataFrame, edges: DataFrame, short: int = 20, level: int = 60, horizon: int = 5, seeds: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     """edges, signal and scores of neighbours' volatility innovations against the volatility to come, and against what own short and long volatility leave of it."""
     base = materialize(volatilities(panel, short, level, horizon), "volatility")
-    ics = None
-    for kind, graphs in (("real", [edges]), ("rewire", [G.degree_preserving_rewire(edges, s) for s in seeds])):
-        for seed, e in enumerate(graphs):
-            sig = N.present_neighbour_mean(e, base, "innov").withColumnRenamed("nbr", "sig").join(base, ["as_of", "asset"])
-            sig = materialize(sig.withColumn("left", FE.residual_of_two("fwd", "own_s", "own_l", "as_of")), "signals")
-            pairs = [(kind, "spill_raw", "sig", "fwd"), (kind, "spill_resid", "sig", "left"), *([("none", "own_vol", "own_s", "fwd")] if kind == "real" else [])]
-            ics = _with_series(ics, sig, pairs, seed)
+    ics = spillover_series(base, edges, "real")
+    for seed, s in enumerate(seeds):
+        ics = ics.unionByName(spillover_series(base, G.degree_preserving_rewire(edges, s), "rewire", seed))
     return seeded(ics, "edges <> 'real'")
 
 
+def spillover_series(base: DataFrame, edges: DataFrame, kind: str, seed: int = 0) -> DataFrame:
+    """edges, signal, seed, d, x: neighbours' innovations against the volatility to come and against what own volatilities leave of it and, for real edges, own short volatility."""
+    sig = N.present_neighbour_mean(edges, base, "innov").withColumnRenamed("nbr", "sig").join(base, ["as_of", "asset"])
+    sig = materialize(sig.withColumn("left", FE.residual_of_two("fwd", "own_s", "own_l", "as_of")), "signals")
+    return _series(sig, [(kind, "spill_raw", "sig", "fwd"), (kind, "spill_resid", "sig", "left"), *([("none", "own_vol", "own_s", "fwd")] if kind == "real" else [])], seed)
+
+
 def spillover_significance(panel: DataFrame, edges: DataFrame, short: int = 20, level: int = 60, horizon: int = 5) -> DataFrame:
     """key, mean_ic, n, t_eff, ic_psr of the controlled spillover: the chance that its mean is above 0, with the dates that a correlated series is worth."""
     base = volatilities(panel, short, level, horizon)
