@@ -277,3 +277,31 @@ def test_pipeline_run(spark, sf_dir):
     import corpus_pipeline as C
 
     assert C.run(spark, sf_dir).columns == ["doc_id", "n_tokens", "token_ids"]
+
+
+def test_pipeline_on_odd_documents(spark, sf_dir, tmp_path, odd_rows):
+    """Accepted documents of the table beside nulls, repeated rows, very long and empty texts and columns of clashing names; and an empty table."""
+    import corpus_pipeline as C
+
+    docs = C.table(spark, sf_dir, "documents")
+    good = C.quality(spark, docs, sf_dir)
+    few = good.orderBy("doc_id").limit(30)
+    item = C.table(spark, sf_dir, "benchmark").orderBy("item_id").first()["text"]
+    first = few.orderBy("doc_id").first()
+    more = [(first["doc_id"], first["text"]), (None, first["text"]), (None, first["text"]), (10**9, f"{first['text']} token=abcdefgh1234"), (10**9 + 1, first["text"]), (10**9 + 2, f"{first['text']} {item}"), (10**9 + 3, first["text"] * 400)]
+    odd = [(None if d is None else 2 * 10**9 + d, t) for d, t in odd_rows]
+    extra = spark.createDataFrame(more + odd, "doc_id long, text string")
+    mixed = clashing(few.unionByName(extra, allowMissingColumns=True)).repartition(3)
+    columns, kept = mixed.columns, {}
+    for name, stage in C.STAGES:
+        before = mixed
+        mixed = C.materialize(stage(spark, mixed, sf_dir), name)
+        kept[name] = sorted(r["doc_id"] or 0 for r in mixed.select("doc_id").collect())
+        if name != C.STAGES[-1][0]:
+            assert mixed.columns == columns
+        empty = stage(spark, before.where("false"), sf_dir)
+        assert empty.count() == 0 and empty.columns == mixed.columns
+    q, near, clean = (kept[n] for n in ("quality_classifier", "simhash_near_dedup", "benchmark_decontamination"))
+    assert q.count(0) >= 2 and q.count(first["doc_id"]) == 2 and 10**9 + 1 in q
+    assert near.count(0) == q.count(0) and near.count(first["doc_id"]) == 1 and 10**9 + 1 not in near and len(set(near)) > 20
+    assert 10**9 + 2 not in clean and kept["secret_scan"] == clean == kept["byte_bpe"]
