@@ -84,11 +84,20 @@ def fingerprint(data: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
 
 
 def word_set_fingerprints(data: bytes, seeds: tuple[int, ...]) -> list[int]:
-    """Of the distinct words of UTF-8 text, under each seed: an edited word changes one feature, not one for each shingle."""
+    """Of the distinct words of UTF-8 text, under each seed: an edited word changes one feature, not one for each shingle. A word is hashed once, and its hash mixed with each seed."""
     from xxhash import xxh64_intdigest
 
     words = set(data.lower().split())
-    return [majority_bits(np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words))) if words else 0 for seed in seeds]
+    if not words:
+        return [0] * len(seeds)
+    h = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+    out = []
+    for seed in seeds:
+        z = h + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(majority_bits(z ^ (z >> np.uint64(31))))
+    return out
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, word_set_seeds: tuple[int, ...] = ()) -> DataFrame:
@@ -231,11 +240,12 @@ def split(counts: dict[int, int], top: int, bottom: int, most: int) -> tuple[lis
 
 
 def frontier(leaves: DataFrame) -> list[tuple[int, int]]:
-    """(path, depth), in order, of trie nodes that cover all of `leaves` (fp) and have at most MOST_LEAVES, or a single fingerprint."""
+    """(path, depth), in order, of trie nodes that cover all of `leaves` (seed, fp) and have at most MOST_LEAVES of any seed, or a single fingerprint."""
     prefix = lambda d: F.shiftrightunsigned("fp", 64 - d)
 
     def counted(df: DataFrame, d: int) -> dict[int, int]:
-        return {r["p"] & (1 << 64) - 1: r["n"] for r in df.groupBy(prefix(d).alias("p")).agg(F.count("*").alias("n")).collect()}
+        of_seed = df.groupBy("seed", prefix(d).alias("p")).agg(F.count("*").alias("n"))
+        return {r["p"] & (1 << 64) - 1: r["n"] for r in of_seed.groupBy("p").agg(F.max("n").alias("n")).collect()}
 
     depth, counts = COUNT_BITS, counted(leaves, COUNT_BITS)
     most = max(min(sum(counts.values()) // LEAST_NODES, MOST_LEAVES), LEAST_LEAVES)
@@ -243,7 +253,7 @@ def frontier(leaves: DataFrame) -> list[tuple[int, int]]:
     while over and depth < 64:
         top, depth = depth, depth + MORE_BITS
         hot = leaves.sparkSession.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in over], "p long")
-        some = leaves.select("fp").join(F.broadcast(hot), prefix(top) == F.col("p"), "left_semi")  # fewer prefixes than leaves / MOST_LEAVES
+        some = leaves.select("seed", "fp").join(F.broadcast(hot), prefix(top) == F.col("p"), "left_semi")  # fewer prefixes than leaves / MOST_LEAVES
         more, over = split(counted(some, depth), top, depth, most)
         nodes += more
     return sorted([*nodes, *((p, depth) for p in over)], key=lambda n: n[0] << (64 - n[1]))
@@ -257,7 +267,7 @@ def partners(paths: np.ndarray, depths: np.ndarray, i: int, budget: int) -> np.n
 
 
 def _dealt(leaves: DataFrame, budget: int) -> DataFrame:
-    """`leaves` (fp and others) with task and side, a row for each task of its frontier node: one for each pair of nodes whose paths are within the budget."""
+    """`leaves` (seed, fp and others) with task and side, a row for each task of its frontier node: one for each pair of nodes whose paths are within the budget."""
     spark = leaves.sparkSession
     nodes = frontier(leaves)
     paths, depths = np.array([p << (64 - d) for p, d in nodes], np.uint64), np.array([d for _, d in nodes], np.int64)
@@ -291,18 +301,18 @@ def _dealt(leaves: DataFrame, budget: int) -> DataFrame:
 
 
 def near_links(leaves: DataFrame, budget: int = MAX_BITS) -> DataFrame:
-    """(a, b) star links that connect all of `leaves` (fp, distinct) within `budget` bits, and no others."""
+    """(seed, a, b) star links that connect all of `leaves` (seed, fp, distinct) of a seed within `budget` bits, and no others."""
 
-    def walked(group):
+    def walked(key, group):
         import pyarrow as pa
 
         fps, side = group.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), group.column("side").to_numpy(zero_copy_only=False)
         left, right = np.sort(fps[side == 0]), np.sort(fps[side == 1])
         a, b = local_stars(left, right if len(right) else None, budget)
         give_back_memory()
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        return pa.table({"seed": pa.array([key[0].as_py()] * len(a), pa.int32()), "a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return _dealt(leaves.select("fp"), budget).groupBy("task").applyInArrow(walked, "a long, b long")
+    return _dealt(leaves.select("seed", "fp"), budget).groupBy("seed", "task").applyInArrow(walked, "seed int, a long, b long")
 
 
 def open_pairs(fps: np.ndarray, side: np.ndarray, labels: np.ndarray, budget: int, possible=None) -> tuple[np.ndarray, np.ndarray]:
@@ -342,7 +352,7 @@ def open_pairs(fps: np.ndarray, side: np.ndarray, labels: np.ndarray, budget: in
 
 
 def near_pairs(rows: DataFrame, least: float, budget: int = MAX_BITS) -> DataFrame:
-    """(a, b) of all nodes of `rows` (node, fp, label, n, n_common, sketch) within `budget` bits whose labels differ and whose similarity may be `least`."""
+    """(a, b) of all nodes of `rows` (seed, node, fp, label, n, n_common, sketch) within `budget` bits under a seed whose labels differ and whose similarity may be `least`."""
 
     def walked(group):
         import pyarrow as pa
@@ -369,23 +379,20 @@ def near_pairs(rows: DataFrame, least: float, budget: int = MAX_BITS) -> DataFra
         give_back_memory()
         return found
 
-    return _dealt(rows.select("node", "fp", "label", "n", "n_common", "sketch"), budget).groupBy("task").applyInArrow(walked, "a binary, b binary")
+    return _dealt(rows.select("seed", "node", "fp", "label", "n", "n_common", "sketch"), budget).groupBy("seed", "task").applyInArrow(walked, "a binary, b binary")
 
 
 def group_links(groups: DataFrame, width: int, budget: int, of_texts: bool = False) -> DataFrame:
     """(a, b) links of `groups` (node, fps): equal or near under any of `width` fingerprints; a node that has one fingerprint is that, unless nodes are `of_texts`."""
-    links = None
-    for k in range(width):
-        if width == 1 and not of_texts:
-            found = near_links(groups.select(F.col("node").alias("fp")), budget)
-        else:
-            of_node = groups.select("node", F.col("fps")[k].alias("fp"))
-            leaves = materialize(of_node.groupBy("fp").agg(F.min("node").alias("leaf")), "simhash-leaves")
-            near = near_links(leaves.select("fp"), budget)
-            near = near.join(leaves.select(F.col("fp").alias("a"), F.col("leaf").alias("x")), "a").join(leaves.select(F.col("fp").alias("b"), F.col("leaf").alias("y")), "b").select("x", "y")
-            found = near.union(of_node.join(leaves, "fp").where("node <> leaf").select("node", "leaf")).toDF("a", "b")
-        links = found if links is None else links.unionByName(found)
-    return links
+    if width == 1 and not of_texts:
+        return near_links(groups.select(F.lit(0).alias("seed"), F.col("node").alias("fp")), budget).select("a", "b")
+    of_node = groups.select("node", F.posexplode("fps").alias("seed", "fp"))
+    leaves = materialize(of_node.groupBy("seed", "fp").agg(F.min("node").alias("leaf")), "simhash-leaves")
+    near = near_links(leaves.select("seed", "fp"), budget)
+    for side, end in (("a", "x"), ("b", "y")):
+        near = near.join(leaves.select("seed", F.col("fp").alias(side), F.col("leaf").alias(end)), ["seed", side])
+    same = of_node.join(leaves, ["seed", "fp"]).where("node <> leaf").select("node", "leaf")
+    return near.select("x", "y").union(same).toDF("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, budget: int = MAX_BITS, shingle_words: int = SHINGLE_WORDS, word_set_seeds: tuple[int, ...] = ()) -> DataFrame:
@@ -504,10 +511,7 @@ def verified_duplicates(docs: DataFrame, word_set_seeds: tuple[int, ...], least_
     links = materialize(similar(hub_links(stars, counts), shingles, counts, least_jaccard), "simhash-similar")
     roots = materialize(connected(links), "simhash-roots")
     open_ = materialize(proposed.join(counts, "node").join(shingles.select("node", "sketch"), "node").join(roots, "node", "left").select("node", "fps", "n", "n_common", "sketch", F.coalesce("root", "node").alias("label")), "simhash-open")
-    pairs = None
-    for k in range(width):
-        found = near_pairs(open_.select("node", F.col("fps")[k].alias("fp"), "label", "n", "n_common", "sketch"), least_jaccard, budget)
-        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = near_pairs(open_.select(F.posexplode("fps").alias("seed", "fp"), "node", "label", "n", "n_common", "sketch"), least_jaccard, budget)
     more = materialize(similar(pairs, shingles, counts, least_jaccard), "simhash-similar")
     if not more.isEmpty():
         roots = materialize(connected(links.unionByName(more)), "simhash-roots")

@@ -118,7 +118,7 @@ def test_frontier_tasks_lose_no_pair(spark, monkeypatch):
     hot = (x[:500] >> np.uint64(30)) | (np.uint64(0xABCDEF12) << np.uint64(34))
     x = np.unique(np.concatenate((x, hot, hot[:100] ^ np.uint64(5), x[:100] ^ np.uint64(1 << 60))))
     monkeypatch.setattr(S, "MOST_LEAVES", 64)
-    leaves = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    leaves = spark.createDataFrame([(0, int(v)) for v in x.view(np.int64)], "seed int, fp long")
     rows = S._dealt(leaves, 4).collect()
     nodes = S.frontier(leaves)
     held = np.bincount([next(k for k, (p, d) in enumerate(nodes) if int(v) >> (64 - d) == p) for v in x])
