@@ -52,8 +52,8 @@ def rank_turnover(panel: DataFrame, value: str = "sig") -> DataFrame:
     return df.groupBy("d").agg(F.try_divide(F.avg("move"), F.max("n")).alias("turnover"))
 
 
-def tranche_returns(panel: DataFrame, lookback: int, horizon: int, q: float = 0.2, warmup: int = 0, sign: int = -1) -> DataFrame:
-    """d, pos, r: the mean over live tranches of long less short; a tranche formed at t is held over t + 1 .. t + horizon.
+def tranche_books(panel: DataFrame, lookback: int, horizon: int, q: float = 0.2, warmup: int = 0, sign: int = -1) -> DataFrame:
+    """d, pos, formed, r: long less short of each tranche; one formed at t is held over t + 1 .. t + horizon.
 
     k counts all assets; a formation date needs 2 k signals; a leg with a missing return has none that day.
     """
@@ -69,7 +69,12 @@ def tranche_returns(panel: DataFrame, lookback: int, horizon: int, q: float = 0.
     held = live.join(panel.select("d", "pos", "asset", "ret"), ["pos", "asset"])
     legs = held.groupBy("d", "pos", "formed", "leg").agg(F.when(F.count("ret") == F.count("*"), F.avg("ret")).alias("r"))
     books = legs.groupBy("d", "pos", "formed").agg((F.sum(F.when(F.col("leg") == 1, F.col("r"))) - F.sum(F.when(F.col("leg") == -1, F.col("r")))).alias("r"))
-    return books.where("r IS NOT NULL").groupBy("d", "pos").agg(F.avg("r").alias("r"))
+    return books.where("r IS NOT NULL")
+
+
+def tranche_returns(panel: DataFrame, lookback: int, horizon: int, q: float = 0.2, warmup: int = 0, sign: int = -1) -> DataFrame:
+    """d, pos, r: the mean over live tranches."""
+    return tranche_books(panel, lookback, horizon, q, warmup, sign).groupBy("d", "pos").agg(F.avg("r").alias("r"))
 
 
 def aligned(series: DataFrame, n_configs: int) -> DataFrame:

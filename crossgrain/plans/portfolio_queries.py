@@ -81,11 +81,14 @@ GRID = [(lb, h) for lb in (1, 5, 21) for h in (1, 5, 21)]
 
 
 def config_matrix(spark, sf_dir):
-    """config, d, r of a 3 by 3 grid of lookbacks and horizons."""
-    p = materialize(weeks(spark, sf_dir), "panel")  # nine strategies read it
+    """config, d, r of a 3 by 3 grid of lookbacks and horizons: tranches of a lookback are formed once, and each horizon takes those that are not older."""
+    p = materialize(weeks(spark, sf_dir), "panel")
     out = None
-    for k, (lb, h) in enumerate(GRID):
-        one = PF.tranche_returns(p, lb, h).select(F.lit(k).alias("config"), "d", "r")
+    for lb in dict.fromkeys(lb for lb, _ in GRID):
+        horizons = [(h, k) for k, (x, h) in enumerate(GRID) if x == lb]
+        books = PF.tranche_books(p, lb, max(h for h, _ in horizons))
+        ages = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.lit(k).alias("config")) for h, k in horizons]))
+        one = books.withColumn("of", ages).where(F.col("pos") - F.col("formed") <= F.col("of.h")).groupBy("of.config", "d").agg(F.avg("r").alias("r"))
         out = one if out is None else out.unionByName(one)
     return out
 
