@@ -11,6 +11,7 @@ from crossgrain.operators import features as FE
 from crossgrain.operators import graphs as G
 from crossgrain.operators import models as M
 from crossgrain.operators import neighbours as N
+from crossgrain.operators import soft_ranks as SR
 from crossgrain.operators import splits as S
 from crossgrain.operators import universe as U
 from crossgrain.plans.catalog import register
@@ -344,7 +345,7 @@ SELECT d, round(CASE WHEN count(*) < 3 THEN 0 ELSE 1 - covar_pop(rp, ry) / nulli
 def soft_rank_loss(spark, sf_dir):
     """The loss of the reversal signal against the next return, at every date."""
     x = months(spark, sf_dir).select("d", "asset", (-F.col("ret")).alias("p"), FE.forward_return(1).alias("y")).where("p IS NOT NULL AND y IS NOT NULL")
-    return rounded(N.soft_rank_losses(x, "p", "y", 0.01))
+    return rounded(SR.soft_rank_losses(x, "p", "y", 0.01))
 
 
 @register("sage_mean_aggregate", f"WITH {CORR_SQL}, {TR_SQL} SELECT n.as_of, n.asset, round(coalesce((SELECT avg(v) FROM knn k JOIN tr ON tr.as_of = k.as_of AND tr.asset = k.src WHERE k.as_of = n.as_of AND k.dst = n.asset), 0), 6) + 0.0 AS agg FROM nodes n")
