@@ -14,6 +14,10 @@ budget is one task, which walks its part with arrays, level by level and in bloc
 those are is worked out in tasks, too. A
 task returns no pairs but a spanning star for each set of its linked leaves, fewer rows than leaves.
 Components are joined from the stars by `components.connected`.
+That copies a leaf to every node within the budget. Where there are several seeds, each has budget + 1 tries instead
+(`turned`), of the same bits turned so that another run of them comes first: fingerprints within the budget have one of
+these runs in common, so that each trie is walked for pairs that part below its first run only, and a leaf is copied
+to budget + 1 nodes however many nodes there are.
 
 Where `least_jaccard` is given, fingerprints only propose: distinct texts (of the same words in the same order,
 whatever their case and spaces) are nodes, and no link joins a component before the sets of five-word shingles of
@@ -21,7 +25,8 @@ its two texts are compared. Star links are compared first, to their roots and to
 the fewest shingles of its own, then every pair within the budget that these left in two components. A shingle
 that no other proposed text has can be in no intersection, and two texts differ in as many shingles at least as
 in bits of which each shingle of a text turns one; pairs that cannot reach the similarity for either are not made. So a large group of near copies does not give all its pairs, and no pair that reaches it is lost. A row without a doc_id,
-which always stays, proposes nothing there.
+which always stays, proposes nothing there. Texts are joined only where a bitmap of the doc_ids that are looked for
+has theirs; what it has beyond those costs work and changes nothing.
 
 Defined results: null and empty texts, and texts of white space, have fingerprint zero and are linked
 like any other; every row gives one row, repeated rows included; a null doc_id is linked but never an
@@ -34,10 +39,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossgrain.llm.components import connected
+from crossgrain.llm.substring_dedup import BITS_EACH, LEAST_BITS, MOST_BITS, bitmap, in_bitmap
 from crossgrain.llm.text import give_back_memory, pieces
 from crossgrain.sources.scratch import materialize
 from crossgrain.sources.tables import table
@@ -51,6 +58,8 @@ JACCARD_WORDS = 5
 SKETCH_BITS = 512
 #: Bits of a prefix that leaves are counted by, and those that are added where it has too many.
 COUNT_BITS, MORE_BITS = 16, 4
+#: The same first bits where a seed has several tries, and the fewest bits of a run that are worth a trie.
+COUNT_BITS_TURNED, LEAST_RUN = 8, 8
 #: Leaves of a frontier node: a twelfth of all, between these.
 LEAST_LEAVES, MOST_LEAVES, LEAST_NODES = 64, 32_768, 12
 #: Node pairs whose table is broadcast; more are joined with a shuffle.
@@ -138,8 +147,8 @@ class Trie:
             self.children[d] = (zero, one)
 
 
-def trie_pairs(left: np.ndarray, right: np.ndarray | None, budget: int, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i in left, j in right) of sorted distinct leaves within `budget` bits; right None: i < j, both in left."""
+def trie_pairs(left: np.ndarray, right: np.ndarray | None, budget: int, block: int = BLOCK, run: int = 0, before: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i in left, j in right) of sorted distinct leaves within `budget` bits; right None: i < j, both in left. Of those only the ones that have the first `run` bits in common and none of the last `before` runs."""
     if not len(left) or right is not None and not len(right):
         return
     n = max(len(left), 0 if right is None else len(right))
@@ -155,11 +164,11 @@ def trie_pairs(left: np.ndarray, right: np.ndarray | None, budget: int, block: i
             work += [(d, x[half:], y[half:], off[half:]), (d, x[:half], y[:half], off[:half])]
             continue
         if d == bottom:
-            yield from _leaf_pairs(a, b, x, y, d, budget, block)
+            yield from _leaf_pairs(a, b, x, y, d, budget, block, run, before)
             continue
         (a0, a1), (b0, b1) = a.children[d], b.children[d]
         x0, x1, y0, y1 = a0[x], a1[x], b0[y], b1[y]
-        spare = off < budget
+        spare = off < (budget if d >= run else 0)
         parts = []
         for u, v, ok, more in ((x0, y0, None, 0), (x1, y1, None, 0), (x0, y1, spare, 1), (x1, y0, spare if right is not None else spare & (x != y), 1)):
             keep = (u >= 0) & (v >= 0)
@@ -171,7 +180,7 @@ def trie_pairs(left: np.ndarray, right: np.ndarray | None, budget: int, block: i
             work.append((d + 1, x, y, off))
 
 
-def _leaf_pairs(a: Trie, b: Trie, x: np.ndarray, y: np.ndarray, d: int, budget: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _leaf_pairs(a: Trie, b: Trie, x: np.ndarray, y: np.ndarray, d: int, budget: int, block: int, run: int, before: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs below node pairs at the lowest depth that are within the budget."""
     sa, sb = a.starts[d], b.starts[d]
     na, nb = sa[x + 1] - sa[x], sb[y + 1] - sb[y]
@@ -184,7 +193,12 @@ def _leaf_pairs(a: Trie, b: Trie, x: np.ndarray, y: np.ndarray, d: int, budget:
         k = np.searchsorted(ends, flat, side="right")
         within = flat - (ends[k] - size[k])
         i, j = sa[x[k]] + within // nb[k], sb[y[k]] + within % nb[k]
-        near = np.bitwise_count(a.leaves[i] ^ b.leaves[j]) <= budget
+        off = a.leaves[i] ^ b.leaves[j]
+        near = np.bitwise_count(off) <= budget
+        if run:
+            near &= off >> np.uint64(64 - run) == 0
+        for r in range(before):
+            near &= (off >> np.uint64(r * run)) & np.uint64((1 << run) - 1) != 0
         if a is b:
             near &= (x[k] != y[k]) | (i < j)
         if near.any():
@@ -208,14 +222,19 @@ def _join_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             labels[:] = up
 
 
-def local_stars(left: np.ndarray, right: np.ndarray | None, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """(leaf, smallest linked leaf) for the leaves of a task that are linked to a smaller one."""
+def local_stars(left: np.ndarray, right: np.ndarray | None, budget: int, run: int = 0, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(leaf, smallest linked leaf) for the leaves of a task that are linked to a smaller one; of leaves that are turned by `turn` runs, as they were before."""
     every = left if right is None else np.concatenate((left, right))
     labels, shift = np.arange(len(every)), 0 if right is None else len(left)
-    for i, j in trie_pairs(left, right, budget):
+    for i, j in trie_pairs(left, right, budget, run=run):
         _join_labels(labels, i, j + shift)
-    linked = np.flatnonzero(labels != np.arange(len(every)))
-    return every[linked], every[labels[linked]]
+    if turn:
+        by = np.uint64(turn * run)
+        every = (every >> by) | (every << (np.uint64(64) - by))
+    least = every.copy()
+    np.minimum.at(least, labels, every)
+    linked = np.flatnonzero(every != least[labels])
+    return every[linked], least[labels[linked]]
 
 
 def split(counts: dict[int, int], top: int, bottom: int, most: int) -> tuple[list[tuple[int, int]], list[int]]:
@@ -239,7 +258,21 @@ def split(counts: dict[int, int], top: int, bottom: int, most: int) -> tuple[lis
     return found, over
 
 
-def frontier(leaves: DataFrame) -> list[tuple[int, int]]:
+def runs_of(budget: int) -> tuple[int, int]:
+    """(runs, bits of each): as many as share no bit and cannot all differ within the budget; one of no bits where they would be too short."""
+    bits = 64 // (budget + 1)
+    return (budget + 1, bits) if bits >= LEAST_RUN else (1, 0)
+
+
+def turned(leaves: DataFrame, budget: int) -> DataFrame:
+    """`leaves` (seed, fp and others) once for each run: fp turned so that the run comes first, and seed * runs + run for seed."""
+    runs, bits = runs_of(budget)
+    each = leaves.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    fp = F.expr(f"shiftleft(fp, turn * {bits}) | shiftrightunsigned(fp, 64 - turn * {bits})")  # by 64 bits: not at all
+    return each.withColumns({"fp": fp, "seed": (F.col("seed") * runs + F.col("turn")).cast("int")}).select(*leaves.columns)
+
+
+def frontier(leaves: DataFrame, count_bits: int = COUNT_BITS) -> list[tuple[int, int]]:
     """(path, depth), in order, of trie nodes that cover all of `leaves` (seed, fp) and have at most MOST_LEAVES of any seed, or a single fingerprint."""
     prefix = lambda d: F.shiftrightunsigned("fp", 64 - d)
 
@@ -247,7 +280,7 @@ def frontier(leaves: DataFrame) -> list[tuple[int, int]]:
         of_seed = df.groupBy("seed", prefix(d).alias("p")).agg(F.count("*").alias("n"))
         return {r["p"] & (1 << 64) - 1: r["n"] for r in of_seed.groupBy("p").agg(F.max("n").alias("n")).collect()}
 
-    depth, counts = COUNT_BITS, counted(leaves, COUNT_BITS)
+    depth, counts = count_bits, counted(leaves, count_bits)
     most = max(min(sum(counts.values()) // LEAST_NODES, MOST_LEAVES), LEAST_LEAVES)
     nodes, over = split(counts, 0, depth, most)
     while over and depth < 64:
@@ -259,17 +292,19 @@ def frontier(leaves: DataFrame) -> list[tuple[int, int]]:
     return sorted([*nodes, *((p, depth) for p in over)], key=lambda n: n[0] << (64 - n[1]))
 
 
-def partners(paths: np.ndarray, depths: np.ndarray, i: int, budget: int) -> np.ndarray:
-    """The nodes from `i` on whose paths are within the budget of its own, over the bits that both have; `paths` start at the highest bit."""
+def partners(paths: np.ndarray, depths: np.ndarray, i: int, budget: int, run: int = 0) -> np.ndarray:
+    """The nodes from `i` on whose paths are within the budget of its own, over the bits that both have, and differ in none of the first `run`; `paths` start at the highest bit."""
     common = np.minimum(depths[i:], depths[i]).astype(np.uint64)
     off = np.where(common == 0, np.uint64(0), (paths[i:] ^ paths[i]) >> ((np.uint64(64) - common) & np.uint64(63)))
-    return i + np.flatnonzero(np.bitwise_count(off) <= budget)
+    first = np.minimum(common, np.uint64(run))
+    parted = np.where(first == 0, np.uint64(0), (paths[i:] ^ paths[i]) >> ((np.uint64(64) - first) & np.uint64(63)))
+    return i + np.flatnonzero((np.bitwise_count(off) <= budget) & (parted == 0))
 
 
-def _dealt(leaves: DataFrame, budget: int) -> DataFrame:
-    """`leaves` (seed, fp and others) with task and side, a row for each task of its frontier node: one for each pair of nodes whose paths are within the budget."""
+def _dealt(leaves: DataFrame, budget: int, run: int = 0) -> DataFrame:
+    """`leaves` (seed, fp and others) with task and side, a row for each task of its frontier node: one for each pair of nodes whose paths are within the budget and have the first `run` bits in common."""
     spark = leaves.sparkSession
-    nodes = frontier(leaves)
+    nodes = frontier(leaves, COUNT_BITS_TURNED if run else COUNT_BITS)
     paths, depths = np.array([p << (64 - d) for p, d in nodes], np.uint64), np.array([d for _, d in nodes], np.int64)
     held = spark.sparkContext.broadcast((paths, depths))  # fewer nodes than leaves / MOST_LEAVES, twice at most, or 65,536
 
@@ -279,7 +314,7 @@ def _dealt(leaves: DataFrame, budget: int) -> DataFrame:
         paths, depths = held.value
         for b in batches:
             for i in b.column("id").to_pylist():
-                j = partners(paths, depths, i, budget)
+                j = partners(paths, depths, i, budget, run)
                 task = (np.int64(i) << np.int64(32)) + j
                 other = j != i
                 columns = np.concatenate((np.full(len(j), i), j[other])), np.concatenate((task, task[other])), np.concatenate((np.zeros(len(j), np.int8), np.ones(other.sum(), np.int8)))
@@ -300,23 +335,26 @@ def _dealt(leaves: DataFrame, budget: int) -> DataFrame:
     return leaves.mapInArrow(numbered, f"{kinds}, trie_node long").join(routes, "trie_node").select(*leaves.columns, "task", "side")
 
 
-def near_links(leaves: DataFrame, budget: int = MAX_BITS) -> DataFrame:
-    """(seed, a, b) star links that connect all of `leaves` (seed, fp, distinct) of a seed within `budget` bits, and no others."""
+def near_links(leaves: DataFrame, budget: int = MAX_BITS, by_runs: bool = False) -> DataFrame:
+    """(seed, a, b) star links that connect all of `leaves` (seed, fp, distinct) of a seed within `budget` bits, and no others; `by_runs`: from a trie for each run of bits."""
+    runs, run = runs_of(budget) if by_runs else (1, 0)
 
     def walked(key, group):
         import pyarrow as pa
 
         fps, side = group.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), group.column("side").to_numpy(zero_copy_only=False)
         left, right = np.sort(fps[side == 0]), np.sort(fps[side == 1])
-        a, b = local_stars(left, right if len(right) else None, budget)
+        seed, turn = divmod(key[0].as_py(), runs)
+        a, b = local_stars(left, right if len(right) else None, budget, run, turn)
         give_back_memory()
-        return pa.table({"seed": pa.array([key[0].as_py()] * len(a), pa.int32()), "a": a.view(np.int64), "b": b.view(np.int64)})
+        return pa.table({"seed": pa.array([seed] * len(a), pa.int32()), "a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return _dealt(leaves.select("seed", "fp"), budget).groupBy("seed", "task").applyInArrow(walked, "seed int, a long, b long")
+    leaves = leaves.select("seed", "fp")
+    return _dealt(turned(leaves, budget) if run else leaves, budget, run).groupBy("seed", "task").applyInArrow(walked, "seed int, a long, b long")
 
 
-def open_pairs(fps: np.ndarray, side: np.ndarray, labels: np.ndarray, budget: int, possible=None) -> tuple[np.ndarray, np.ndarray]:
-    """Places (x, y) of `fps` within `budget` bits whose labels differ: x of side 0 and y of side 1 or, without that side, any two once; `possible` says of places (x, y) which may be similar."""
+def open_pairs(fps: np.ndarray, side: np.ndarray, labels: np.ndarray, budget: int, possible=None, run: int = 0, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y) of `fps` within `budget` bits whose labels differ: x of side 0 and y of side 1 or, without that side, any two once; `possible` says of places (x, y) which may be similar. Of `fps` turned by `turn` runs, those that no smaller turn has."""
     own = not (side == 1).any()
     sorted_rows = [np.flatnonzero(side == k)[np.argsort(fps[side == k], kind="stable")] for k in ((0,) if own else (0, 1))]
     leaves, starts, sizes = zip(*(np.unique(fps[rows], return_index=True, return_counts=True) for rows in sorted_rows), strict=True)
@@ -342,9 +380,9 @@ def open_pairs(fps: np.ndarray, side: np.ndarray, labels: np.ndarray, budget: in
             out.append((x, y))
             at += BLOCK
 
-    for i, j in trie_pairs(leaves[0], None if own else leaves[1], budget):
+    for i, j in trie_pairs(leaves[0], None if own else leaves[1], budget, run=run, before=turn):
         add(i, j, False)
-    if own:
+    if own and not turn:
         shared = np.flatnonzero(sizes[0] > 1)
         add(shared, shared, True)
     x, y = (np.concatenate([p[k] for p in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
@@ -354,7 +392,9 @@ def open_pairs(fps: np.ndarray, side: np.ndarray, labels: np.ndarray, budget: in
 def near_pairs(rows: DataFrame, least: float, budget: int = MAX_BITS) -> DataFrame:
     """(a, b) of all nodes of `rows` (seed, node, fp, label, n, n_common, sketch) within `budget` bits under a seed whose labels differ and whose similarity may be `least`."""
 
-    def walked(group):
+    runs, run = runs_of(budget)
+
+    def walked(key, group):
         import pyarrow as pa
 
         fps, side = group.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), group.column("side").to_numpy(zero_copy_only=False)
@@ -373,13 +413,14 @@ def near_pairs(rows: DataFrame, least: float, budget: int = MAX_BITS) -> DataFra
                 may[part] &= differ <= (n[i] + n[j]) * (1 - least) / (1 + least) + 1e-9
             return may
 
-        x, y = open_pairs(fps, side, labels, budget, possible)
+        x, y = open_pairs(fps, side, labels, budget, possible, run, key[0].as_py() % runs)
         nodes = group.column("node")
         found = pa.table({"a": nodes.take(pa.array(x)), "b": nodes.take(pa.array(y))})
         give_back_memory()
         return found
 
-    return _dealt(rows.select("seed", "node", "fp", "label", "n", "n_common", "sketch"), budget).groupBy("seed", "task").applyInArrow(walked, "a binary, b binary")
+    rows = rows.select("seed", "node", "fp", "label", "n", "n_common", "sketch")
+    return _dealt(turned(rows, budget) if run else rows, budget, run).groupBy("seed", "task").applyInArrow(walked, "a binary, b binary")
 
 
 def group_links(groups: DataFrame, width: int, budget: int, of_texts: bool = False) -> DataFrame:
@@ -388,7 +429,7 @@ def group_links(groups: DataFrame, width: int, budget: int, of_texts: bool = Fal
         return near_links(groups.select(F.lit(0).alias("seed"), F.col("node").alias("fp")), budget).select("a", "b")
     of_node = groups.select("node", F.posexplode("fps").alias("seed", "fp"))
     leaves = materialize(of_node.groupBy("seed", "fp").agg(F.min("node").alias("leaf")), "simhash-leaves")
-    near = near_links(leaves.select("seed", "fp"), budget)
+    near = near_links(leaves, budget, by_runs=True)
     for side, end in (("a", "x"), ("b", "y")):
         near = near.join(leaves.select("seed", F.col("fp").alias(side), F.col("leaf").alias(end)), ["seed", side])
     same = of_node.join(leaves, ["seed", "fp"]).where("node <> leaf").select("node", "leaf")
@@ -447,6 +488,19 @@ def keyed_fingerprints(docs: DataFrame, word_set_seeds: tuple[int, ...]) -> Data
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(hashed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node binary, fps array<long>")
 
 
+def maybe_among(ids: DataFrame, docs: DataFrame) -> Column:
+    """Whether a row of `docs` may have one of the doc_ids of `ids`, which has at least one: false only where it has none. The driver gets two bytes for each of `ids`, at least, and 128 MB at most."""
+    hashes = ids.select(F.xxhash64(F.col("doc_id").cast(docs.schema["doc_id"].dataType)).alias("h"))
+    bits = min(max(1 << (BITS_EACH * ids.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    cells = docs.sparkSession.sparkContext.broadcast(bitmap(hashes, bits))
+
+    @F.pandas_udf("boolean")
+    def hit(h: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(cells.value, h.to_numpy().view(np.uint64)))
+
+    return hit(F.xxhash64("doc_id"))
+
+
 def shingles_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, shingles and their sketch of `nodes` (node, first_doc), read from the row of `docs` that has that doc_id and text."""
 
@@ -464,7 +518,8 @@ def shingles_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["node", "shingles", "sketch"])
         give_back_memory()
 
-    found = docs.select("doc_id", "text").join(nodes.select("node", F.col("first_doc").alias("doc_id")), "doc_id")
+    wanted = nodes.select("node", F.col("first_doc").alias("doc_id"))
+    found = docs.select("doc_id", "text").where(maybe_among(wanted, docs)).join(wanted, "doc_id")
     return found.select("node", "text").mapInArrow(hashed, "node binary, shingles array<long>, sketch binary").dropDuplicates(["node"])
 
 
@@ -528,12 +583,18 @@ def keep_first(docs: DataFrame, budget: int = MAX_BITS, shingle_words: int = SHI
     else:
         linked = verified_duplicates(docs, word_set_seeds, least_jaccard, budget)
     found = materialize(linked.select("doc_id", "component_id"), "simhash-kept")
-    later = found.where("doc_id <> component_id").select("doc_id").distinct()  # broadcast by Spark only where it is small
-    kept = docs.join(later, "doc_id", "left_anti").select(docs.columns)
-    repeated = materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "simhash-repeated")
-    if repeated.isEmpty():
-        return kept
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    later = found.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    repeated, touched = (materialize(t, f"simhash-{name}") for name, t in (("repeated", repeated), ("touched", later.unionByName(repeated).distinct())))
+    docs = docs.select(docs.columns)
+    if touched.isEmpty():
+        return docs
+    some = maybe_among(touched, docs)
+    kept = docs.where(some).join(later, "doc_id", "left_anti").select(docs.columns)
+    if not repeated.isEmpty():
+        once = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+        kept = kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+    return docs.where(~some).unionByName(kept)
 
 
 def fingerprint_hex(fp: Column) -> Column:
